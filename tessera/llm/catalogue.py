@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing
+from . import linededup, mixing, warc
 from .runtime import table
 
 
@@ -26,9 +26,22 @@ SELECT doc_id, array_to_string(kept, chr(10)) AS text, coalesce(len(lines), 0)::
 """
 
 
+def op7_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+OP7 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op10_mixing": op10_mixing}
-ORACLES = {"op5_line_dedup": OP5}
+QUERIES = {"op5_line_dedup": op5_line_dedup, "op7_warc": op7_warc, "op10_mixing": op10_mixing}
+ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7}
