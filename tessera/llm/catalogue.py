@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, warc
+from . import dac, linededup, mixing, warc
 from .runtime import table
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_codes(spark, sf_dir):
+    return dac.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op5_line_dedup(spark, sf_dir):
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -43,5 +53,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op7_warc": op7_warc, "op10_mixing": op10_mixing}
+QUERIES = {"op2_token_codes": op2_token_codes, "op5_line_dedup": op5_line_dedup, "op7_warc": op7_warc, "op10_mixing": op10_mixing}
 ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7}
