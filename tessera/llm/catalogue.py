@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import dac, linededup, mixing, warc
+from . import dac, linededup, mixing, packing, pii, warc
 from .runtime import table
 
 
@@ -36,6 +36,10 @@ SELECT doc_id, array_to_string(kept, chr(10)) AS text, coalesce(len(lines), 0)::
 """
 
 
+def op6_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -49,9 +53,13 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
 """
 
 
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op2_token_codes": op2_token_codes, "op5_line_dedup": op5_line_dedup, "op7_warc": op7_warc, "op10_mixing": op10_mixing}
+QUERIES = {f.__name__: f for f in (op2_token_codes, op5_line_dedup, op6_pii, op7_warc, op9_packing, op10_mixing)}
 ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7}
