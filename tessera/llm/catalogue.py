@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import dac, linededup, mixing, packing, pii, warc
+from . import dac, linededup, mixing, packing, pii, quality, warc
 from .runtime import table
 
 
@@ -14,6 +12,11 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_codes(spark, sf_dir):
     return dac.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -61,5 +64,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_codes, op5_line_dedup, op6_pii, op7_warc, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op5_line_dedup, op6_pii, op7_warc, op9_packing, op10_mixing)}
 ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7}
