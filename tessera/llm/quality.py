@@ -91,12 +91,14 @@ class Network:
         assert half * 2 == x.shape[2]
         return {"embed": embed, "wide": np.einsum("nf,nfx->xf", gm, x, optimize=True), "bias": gm.sum(0), "hidden": m.T @ gh, "hbias": gh.sum(0), "out": h.T @ g, "obias": g.sum(keepdims=True)}
 
-    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 12, size: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
-        """Adam with equal weight for both labels; the rate falls to a tenth."""
+    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 12, size: int = 64, rate: float = 0.01, seed: int = 11, steps: int = 600) -> Network:
+        """Adam with equal weight for both labels; the rate falls to a tenth. At least ``steps`` steps."""
         r, y = np.random.default_rng(seed), np.asarray(labels, np.float32)
         weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         m, v, t = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        total = epochs * max(1, -(-len(texts) // size))
+        per = max(1, -(-len(texts) // size))
+        epochs = max(epochs, -(-steps // per))
+        total = epochs * per
         for _ in range(epochs):
             order = r.permutation(len(texts))
             for k in range(0, len(order), size):
