@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dac, linededup, mixing, packing, pii, quality, warc
+from . import curves, dac, linededup, mixing, packing, pii, quality, warc
 from .runtime import table
 
 
@@ -56,6 +56,19 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
 """
 
 
+def op8_curves(spark, sf_dir):
+    return curves.search(table(spark, sf_dir, "embeddings"))
+
+
+OP8 = r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -64,5 +77,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op5_line_dedup, op6_pii, op7_warc, op9_packing, op10_mixing)}
-ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op5_line_dedup, op6_pii, op7_warc, op8_curves, op9_packing, op10_mixing)}
+ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7, "op8_curves": OP8}
