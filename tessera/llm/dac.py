@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import commit, filesystem, prepare, scratch, stored
-from .tokens import Encoder
+from .tokens import encoder
 
 MAGIC = b"TOKDAC01"
 SPAN = 512
@@ -114,7 +114,7 @@ class File:
 
 def _writer(folder: str, tokenizer: str, end: int | None, roll: int, bits: int):
     def write(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seq = Encoder(tokenizer), TaskContext.get(), 0
+        task, seq = TaskContext.get(), 0
         docs, lengths, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -131,16 +131,13 @@ def _writer(folder: str, tokenizer: str, end: int | None, roll: int, bits: int):
             docs, lengths, ids, held, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for b in found:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                got, offsets = encoder.encode(part.column(1), end)
-                docs += part.column(0).to_pylist()
-                lengths.append(np.diff(offsets))
-                ids.append(got)
-                held += len(got)
-                if held >= roll:
-                    yield flush()
+        for part, got, offsets in encoder(tokenizer).stream(found, end):
+            docs += part.column(0).to_pylist()
+            lengths.append(np.diff(offsets))
+            ids.append(got)
+            held += len(got)
+            if held >= roll:
+                yield flush()
         if docs:
             yield flush()
 

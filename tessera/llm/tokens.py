@@ -2,13 +2,15 @@
 
 A byte-level BPE with the usual split pattern never makes a token that reaches from a visible character into
 white space that follows it, and what follows is split as it would be at the start of a text. So a text is
-cut there into pieces such as " word"; pyarrow finds the distinct pieces of a batch, the library encodes
-each of them once, and the ids of a text are those of its pieces, joined.
+cut there into pieces such as " word"; pyarrow finds the distinct pieces of a group of batches, the library
+encodes each of them once, and the ids of a text are those of its pieces, joined.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,8 @@ import pyarrow.compute as pc
 
 from .runtime import text_buffers
 
-MEMORY = 600_000  # distinct pieces whose ids a worker keeps
+MEMORY = 1_500_000  # distinct pieces whose ids a worker keeps
+GROUP = 16 << 20  # bytes of text encoded together
 
 
 @functools.lru_cache(maxsize=2)
@@ -51,53 +54,76 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of the pieces it has met, up to a bound."""
+    """Encodes texts; keeps the distinct pieces that it has met and their ids in Arrow arrays, up to a bound."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.ids, self.ends, self.total = path, {}, [], [], 0
-
-    def _look_up(self, pieces: list[str]) -> np.ndarray:
-        """For each distinct piece its place among those known."""
+        self.path = path
+        self.known = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.list_(pa.uint32()))
+
+    def _encode(self, pieces: pa.Array) -> pa.Array:
+        got = load(self.path).encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)
+        lists = [e.ids for e in got]
+        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(ends[-1]))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+    def _ids_of(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each of some distinct pieces."""
+        place = pc.index_in(pieces, value_set=self.known)
+        missing = pc.is_null(place)
+        new = pieces.filter(missing)
+        if len(new):
+            ids, size = self._encode(new), len(self.known)
+            place = np.array(place.fill_null(0))
+            place[np.asarray(missing)] = size + np.arange(len(new))
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, ids])
+        found = self.ids.take(pa.array(place))
         if len(self.known) > MEMORY:
-            self.known, self.ids, self.ends, self.total = {}, [], [], 0
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            got = load(self.path).encode_batch(new, add_special_tokens=False)
-            for p, e in zip(new, got):
-                self.known[p] = len(self.known)
-                self.total += len(e.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-                self.ends.append(self.total)
-            self.ids = [np.concatenate(self.ids)]
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
-
-    def encode(self, texts: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, joined, each with the id ``end`` after it, and the n + 1 offsets of the texts."""
-        data, offsets = text_buffers(texts)
-        n = len(offsets) - 1
-        begin = cuts(data, offsets)
-        if len(begin):
+            self.known, self.ids = pieces, found
+        return found
+
+    def encode_all(self, columns: list[pa.Array], end: int | None = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each column of texts the ids of all its texts, joined, each with the id ``end`` after it, and the n + 1 offsets."""
+        laid, coded = [], []
+        for texts in columns:
+            data, offsets = text_buffers(texts)
+            begin = cuts(data, offsets)
             bounds = np.append(begin, len(data)).astype(np.int64)
             pieces = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
-            coded = pc.dictionary_encode(pieces)
-            place = self._look_up(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-            ends = np.array(self.ends, np.int64)
-            first, length = np.append(0, ends[:-1])[place], np.diff(np.append(0, ends))[place]
-            stop = np.cumsum(length)
-            # Where each text's pieces end, and so how many ids come before the text.
-            before = np.append(0, stop)[np.searchsorted(begin, offsets)]
-        else:
-            first = length = np.empty(0, np.int64)
-            before = np.zeros(n + 1, np.int64)
-            stop = first
-        extra = 0 if end is None else 1
-        out_offsets = before + extra * np.arange(n + 1)
-        out = np.full(int(out_offsets[-1]), end or 0, np.uint32)
-        if len(first):
-            text_of = np.searchsorted(offsets, begin, side="right") - 1
-            # The last of several equal offsets is the text that holds the piece.
-            shift = (stop - length) + extra * text_of
-            total = int(stop[-1])
-            step = np.arange(total) - np.repeat(stop - length, length)
-            out[np.repeat(shift, length) + step] = self.ids[0][np.repeat(first, length) + step]
-        return out, out_offsets
+            coded.append(pc.dictionary_encode(pieces))
+            # How many pieces come before each text, and after the last.
+            laid.append(np.searchsorted(begin, offsets))
+        if not coded:
+            return
+        same = pa.chunked_array(coded).unify_dictionaries()
+        ids = self._ids_of(same.chunk(0).dictionary)
+        for before, chunk in zip(laid, same.chunks):
+            lists = ids.take(chunk.indices)
+            values, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+            offsets = (ends[before] - ends[0]).astype(np.int64)
+            if end is not None:
+                values = np.insert(values, offsets[1:], end)
+                offsets = offsets + np.arange(len(offsets))
+            yield values, offsets
+
+    def encode(self, texts: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.encode_all([texts], end))
+
+    def stream(self, found: Iterable[pa.RecordBatch], end: int | None = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Record batches with texts in column 1, in slices, with their ids; about GROUP bytes are encoded together."""
+        held, size = [], 0
+        for b in found:
+            for k in range(0, b.num_rows, 256):
+                held.append(b.slice(k, 256))
+                size += held[-1].column(1).nbytes
+                if size >= GROUP:
+                    yield from ((x, *y) for x, y in zip(held, self.encode_all([x.column(1) for x in held], end)))
+                    held, size = [], 0
+        yield from ((x, *y) for x, y in zip(held, self.encode_all([x.column(1) for x in held], end)))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process, whose memory serves all tasks that it runs."""
+    return Encoder(path)
