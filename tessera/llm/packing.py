@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .runtime import prepare
-from .tokens import Encoder
+from .tokens import encoder
 
 TIERS = (64, 128, 256, 512, 1024)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -133,17 +133,14 @@ class Packer:
 
 def _packer(tokenizer: str, end: int | None, tiers: tuple, pool: int, step: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), Packer(TaskContext.get().partitionId() << 32, tiers, step)
-        for b in found:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids, offsets = encoder.encode(part.column(1), end)
-                for doc, a, z in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    packer.add(doc, ids[a:z])
-                if packer.held > pool:
-                    packer.pack()
-                if packer.rows:
-                    yield packer.batch()
+        packer = Packer(TaskContext.get().partitionId() << 32, tiers, step)
+        for part, ids, offsets in encoder(tokenizer).stream(found, end):
+            for doc, a, z in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                packer.add(doc, ids[a:z])
+            if packer.held > pool:
+                packer.pack()
+            if packer.rows:
+                yield packer.batch()
         packer.pack(last=True)
         if packer.rows:
             yield packer.batch()
