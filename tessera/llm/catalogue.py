@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curves, dac, linededup, mixing, packing, pii, quality, warc
+from . import curves, dac, linededup, mixing, packing, pii, quality, tokengroups, warc
 from .runtime import table
 
 
@@ -21,6 +21,25 @@ def op2_token_codes(spark, sf_dir):
     return dac.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op3_token_groups(spark, sf_dir):
+    return tokengroups.join(table(spark, sf_dir, "documents"))
+
+
+OP3 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+  AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT s.doc_id AS doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least(s.doc_id, l.b), s.doc_id) AS component_id, coalesce(n.n_links, 0)::BIGINT AS n_links
+FROM sets s LEFT JOIN least l ON l.a = s.doc_id LEFT JOIN n ON n.a = s.doc_id
+"""
+
+
 def op5_line_dedup(spark, sf_dir):
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -77,5 +96,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op5_line_dedup, op6_pii, op7_warc, op8_curves, op9_packing, op10_mixing)}
-ORACLES = {"op5_line_dedup": OP5, "op7_warc": OP7, "op8_curves": OP8}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op3_token_groups, op5_line_dedup, op6_pii, op7_warc, op8_curves, op9_packing, op10_mixing)}
+ORACLES = {"op3_token_groups": OP3, "op5_line_dedup": OP5, "op7_warc": OP7, "op8_curves": OP8}
