@@ -6,7 +6,7 @@ from . import curves, dac, linededup, mixing, packing, pii, quality, tokengroups
 from .runtime import table
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -18,7 +18,7 @@ def op1_quality(spark, sf_dir):
 
 
 def op2_token_codes(spark, sf_dir):
-    return dac.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
+    return dac.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_token_groups(spark, sf_dir):
@@ -89,7 +89,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op9_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_mixing(spark, sf_dir):
