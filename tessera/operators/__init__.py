@@ -1 +1,24 @@
+"""Scans over indexed tables with predicates as trees."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions import filters
+from ..sources import tables
+
+
+def scan(spark: SparkSession, path: str, predicate: filters.Predicate | None = None, columns: list[str] | None = None, two_valued: bool = False) -> DataFrame:
+    """The rows of a table that match a predicate, with the columns asked for, in that order.
+
+    A predicate that folds to a constant becomes no filter at all, or an empty relation without a scan.
+    """
+    df = tables.read_indexed(spark, path)
+    if predicate is not None:
+        tree = filters.simplify(filters.bind(predicate, df.schema))
+        known = filters.state(tree)
+        if known is None:
+            df = df.filter(filters.to_column(tree, two_valued))
+        elif not known:
+            df = df.filter("false")
+    return df if columns is None else df.select(*[f"`{c}`" for c in columns])

@@ -1 +1,15 @@
+"""Streams over indexed tables: Spark's own streaming over a table's files, with the schema of its sidecar."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import tables
+
+
+def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stream of a table's rows, as files arrive."""
+    reader = spark.readStream.schema(tables.table_schema(spark, path))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
