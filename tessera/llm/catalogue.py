@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curves, dac, linededup, mixing, packing, pii, quality, tokengroups, warc
+from . import curves, dac, linededup, mixing, packing, pii, quality, tokengroups, wand, warc
 from .runtime import table
 
 
@@ -40,6 +40,24 @@ FROM sets s LEFT JOIN least l ON l.a = s.doc_id LEFT JOIN n ON n.a = s.doc_id
 """
 
 
+def op4_wand(spark, sf_dir):
+    return wand.search(table(spark, sf_dir, "documents"))
+
+
+OP4 = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
+len AS (SELECT d.doc_id AS doc_id, coalesce(l.n, 0)::DOUBLE AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM w GROUP BY 1) l ON d.doc_id = l.doc_id),
+c AS (SELECT count(*)::DOUBLE AS docs, sum(n) / count(*) AS mean FROM len),
+df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, p.doc_id AS doc_id,
+    sum(round(1e6::DOUBLE * (ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)))))::BIGINT)::BIGINT AS score
+  FROM tf q JOIN tf p ON q.t = p.t AND q.doc_id <> p.doc_id JOIN df ON df.t = q.t JOIN len ON len.doc_id = p.doc_id, c WHERE q.doc_id % 50 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score / 1e6::DOUBLE AS score FROM r WHERE rank <= 10
+"""
+
+
 def op5_line_dedup(spark, sf_dir):
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -96,5 +114,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op3_token_groups, op5_line_dedup, op6_pii, op7_warc, op8_curves, op9_packing, op10_mixing)}
-ORACLES = {"op3_token_groups": OP3, "op5_line_dedup": OP5, "op7_warc": OP7, "op8_curves": OP8}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_codes, op3_token_groups, op4_wand, op5_line_dedup, op6_pii, op7_warc, op8_curves, op9_packing, op10_mixing)}
+ORACLES = {"op3_token_groups": OP3, "op4_wand": OP4, "op5_line_dedup": OP5, "op7_warc": OP7, "op8_curves": OP8}
