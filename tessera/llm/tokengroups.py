@@ -110,29 +110,39 @@ def prints(flat: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return [x.tobytes() if n else None for x, n in zip(np.stack(both, 1), sizes)]
 
 
+def nodes(keys: list[bytes | None]) -> list[int | None]:
+    """The first half of each fingerprint as a number, by which groups are found. Two sets with one number share a group, no more."""
+    return [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
+
+
 def _prints(width: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, flat, offsets in _slices(found, 1, width):
-            key = pa.array(prints(flat, offsets), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), key], names=["doc_id", "n_shingles", "print"])
+            key = prints(flat, offsets)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(key, pa.binary()), pa.array(nodes(key), pa.int64())], names=["doc_id", "n_shingles", "print", "node"])
 
     return run
 
 
 def _signed(width: int, percent: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, flat, offsets in _slices(found, 1, width):
-            sig, at = signatures(flat, offsets, percent)
-            ids = np.repeat(np.asarray(part.column(0).cast(pa.int64())), np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids)], names=["sig", "doc"])
+        for _, flat, offsets in _slices(found, 0, width):
+            own = np.array([n or 0 for n in nodes(prints(flat, offsets))], np.int64)
+            sizes = np.diff(offsets)
+            _, once = np.unique(own, return_index=True)  # of equal sets one in a slice is enough
+            once = np.sort(once[sizes[once] > 0])
+            pick = np.zeros(len(sizes), bool)
+            pick[once] = True
+            sig, at = signatures(flat[np.repeat(pick, sizes)], np.append(0, np.cumsum(sizes[once])), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(own[once], np.diff(at)))], names=["sig", "node"])
 
     return run
 
 
 def _firsts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of sig and doc: pairs of each doc and the first of its sig in this task, once each.
+    """Of rows in order of sig and node: pairs of each node and the first of its sig in this task, once each.
 
-    The first and last sig of a task may go on in others; their first docs are given as rows with that sig.
+    The first and last sig of a task may go on in others; their first nodes are given as rows with that sig.
     """
     sig = lead = edge = None
     held, size = [], 0
@@ -297,21 +307,21 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    printed = stored(texts.mapInArrow(_prints(width), "doc_id long, n_shingles long, print binary"), "prints")
+    printed = stored(texts.mapInArrow(_prints(width), "doc_id long, n_shingles long, print binary, node long"), "prints")
     known = printed.filter("doc_id is not null and print is not null")
-    firsts = stored(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "firsts")
+    firsts = stored(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.min("node").alias("node")), "firsts")
     real = texts.filter("doc_id is not null")
 
     # Groups of similar sets.
-    rows = real.mapInArrow(_signed(width, percent), "sig long, doc long")
-    found = stored(rows.repartitionByRange("sig", "doc").sortWithinPartitions("sig", "doc").mapInArrow(_firsts, "sig long, a long, b long"), "segment-pairs")
+    rows = real.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
+    found = stored(rows.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_firsts, "sig long, a long, b long"), "segment-pairs")
     ends = found.filter("sig is not null")
     across = ends.join(stored(ends.groupBy("sig").agg(F.min("a").alias("least")), "segment-ends"), "sig").select("a", F.col("least").alias("b"))
     family = stored(components(found.filter("sig is null").select("a", "b").unionByName(across)), "families")
 
     # Blocks of a group, of one text for each distinct set.
     members = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
-    single = firsts.join(members, F.col("first") == F.col("node")).select(F.col("component").alias("family"), F.col("first").alias("doc"), "weight", "print")
+    single = firsts.join(members, "node").select(F.col("component").alias("family"), F.col("first").alias("doc"), "weight", "print")
     single = stored(single, "group-members")
     sized = printed.select(F.col("doc_id").alias("doc"), "print", "n_shingles").distinct()
     single = stored(single.join(sized, ["doc", "print"]), "group-members")
@@ -336,5 +346,5 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     same = known.join(twice, "doc_id").join(firsts, "print").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links.filter("b is not null").select("a", "b").unionByName(same))
     counts = stored(links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links")), "link-counts")
-    rows = printed.join(firsts, "print", "left").join(found, F.col("first") == F.col("node"), "left").join(counts, F.col("first") == F.col("a"), "left")
+    rows = printed.drop("node").join(firsts.drop("node"), "print", "left").join(found, F.col("first") == F.col("node"), "left").join(counts, F.col("first") == F.col("a"), "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"), F.when(F.col("first").isNull(), 0).otherwise(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
