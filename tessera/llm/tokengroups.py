@@ -298,6 +298,22 @@ def _join(percent: int, two: bool):
     return run
 
 
+WORDS = 1 << 17
+
+
+def bits(rows: DataFrame, column: str) -> DataFrame:
+    """A bitmap of hashes of a column's values in at most WORDS rows of 64 bits, whatever the number of values."""
+    h = F.xxhash64(column)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
+    return stored(rows.groupBy(F.pmod(h, F.lit(WORDS)).alias("word")).agg(F.bit_or(one).alias("bits")), "bitmap")
+
+
+def among(column: str) -> F.Column:
+    """Whether a value may be in a bitmap: certainly if it is."""
+    h = F.xxhash64(column)
+    return (F.pmod(h, F.lit(WORDS)) == F.col("word")) & (F.call_function("shiftright", F.col("bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(1) == 1)
+
+
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) and n_links of each row.
 
@@ -319,13 +335,14 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     across = ends.join(stored(ends.groupBy("sig").agg(F.min("a").alias("least")), "segment-ends"), "sig").select("a", F.col("least").alias("b"))
     family = stored(components(found.filter("sig is null").select("a", "b").unionByName(across)), "families")
 
-    # Blocks of a group, of one text for each distinct set.
+    # Blocks of a group, of one text for each distinct set. A bitmap of fixed size keeps most other texts out of the shuffle.
     members = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
     single = firsts.join(members, "node").select(F.col("component").alias("family"), F.col("first").alias("doc"), "weight", "print")
     single = stored(single, "group-members")
     sized = printed.select(F.col("doc_id").alias("doc"), "print", "n_shingles").distinct()
     single = stored(single.join(sized, ["doc", "print"]), "group-members")
-    chosen = single.join(real, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
+    near = real.join(F.broadcast(bits(single, "doc")), among("doc_id"), "left_semi")
+    chosen = single.join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
     laid = chosen.repartitionByRange("family", "n_shingles", "doc").sortWithinPartitions("family", "n_shingles", "doc", "print").drop("n_shingles")
     blocks = stored(laid.mapInArrow(_blocks(width), BLOCK), "blocks")
 
