@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, stored
+from .runtime import prepare, renamed, stored
 
 
 def _line_keys(text: Column) -> Column:
@@ -33,7 +33,7 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = 0.05,
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
-    """The documents without boilerplate lines, with n_lines and n_dropped.
+    """The documents without boilerplate lines, with n_lines and n_dropped, which replace columns of these names.
 
     A null text stays null and counts as a page with no line; an empty text stays empty. Blank lines are
     never counted nor dropped. A null host is a host of its own. Repeated rows are pages of their own. An
@@ -41,13 +41,15 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = 0
     """
     prepare(docs.sparkSession)
     found = stored(boilerplate(docs, host, max_ratio, min_pages), "boilerplate")
-    rows, all_ = docs.select("*", F.col(host).alias("_host")).alias("d"), found.alias("b")
-    joined = rows.join(all_, F.col("d._host").eqNullSafe(F.col("b.host")), "left")
-    lines, bad = F.split(F.col("d.text"), "\n"), F.coalesce(F.col("b.lines"), F.array().cast("array<bigint>"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    rows, names = renamed(docs)
+    joined = rows.join(found, F.col(names[host]).eqNullSafe(F.col("host")), "left")
+    own, bad = F.col(names["text"]), F.coalesce("lines", F.array().cast("array<bigint>"))
+    lines = F.split(own, "\n")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(bad, F.xxhash64(x)))
-    joined = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], F.col("d.text").alias("_text"), F.size(lines).alias("_all"), F.when(F.size(bad) > 0, kept).alias("_kept"))
-    text = F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    count = F.when(F.col("_text").isNull(), 0).otherwise(F.col("_all"))
-    dropped = F.when(F.col("_kept").isNull() | F.col("_text").isNull(), 0).otherwise(F.col("_all") - F.size("_kept"))
-    out = joined.select("*", text.alias("text"), count.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
+    joined = joined.select(*names.values(), F.size(lines).alias("_all"), F.when(F.size(bad) > 0, kept).alias("_kept"))
+    text = F.when(F.col("_kept").isNull(), own).otherwise(F.array_join("_kept", "\n"))
+    count = F.when(own.isNull(), 0).otherwise(F.col("_all"))
+    dropped = F.when(F.col("_kept").isNull() | own.isNull(), 0).otherwise(F.col("_all") - F.size("_kept"))
+    columns = [(text if c == "text" else F.col(k)).alias(c) for c, k in names.items()]
+    return joined.select(*columns, count.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -89,3 +89,9 @@ def batches(found: Iterable[pa.RecordBatch], rows: int, schema: pa.Schema) -> It
     for b in found:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns c0, c1, ..., and each name's new one, so that no column clashes with an operator's own."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linededup, mixing, quality, tokengroups
-from .runtime import prepare, stored
+from .runtime import prepare, renamed, stored
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, at_least: float = 0.3) -> DataFrame:
@@ -16,10 +16,12 @@ def keep_quality(docs: DataFrame, labels: DataFrame, at_least: float = 0.3) -> D
 
 def without_boilerplate(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     """Documents without the boilerplate lines of their host; n_chars, where there is one, follows the text."""
-    out = linededup.drop_boilerplate(docs, host, **options)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = renamed(docs)
+    out = linededup.drop_boilerplate(rows.withColumnsRenamed({names["text"]: "text", names[host]: host}), host, **options)
+    columns = {c: F.col(c) if c in ("text", host) else F.col(k) for c, k in names.items()}
+    if "n_chars" in names:
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -27,14 +29,16 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Documents without words, and those without doc_id, are groups of their own.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     groups = stored(tokengroups.join(docs, width, percent).select("doc_id", "component_id"), "groups")
-    first = stored(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "firsts-of-groups")
-    once = docs.join(first.filter("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(first.filter("_rows > 1").select("doc_id"), "doc_id", "left_semi")
-    again = again.groupBy(F.col("doc_id").alias("_doc")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    first = stored(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "firsts-of-groups")
+    rows, names = renamed(docs)
+    own = F.col(names["doc_id"])
+    once = rows.join(first.filter("n = 1"), own == F.col("doc_id"), "left_semi")
+    again = rows.join(first.filter("n > 1"), own == F.col("doc_id"), "left_semi")
+    whole = F.struct(*names.values())
+    again = again.groupBy(own.alias("_doc")).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return once.unionByName(again).unionByName(rows.filter(own.isNull())).toDF(*docs.columns)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -43,8 +47,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Documents without words are not taken. Rows that agree in doc_id and size are taken alike.
     """
     prepare(docs.sparkSession)
-    plan = stored(mixing.mix(docs, **options).groupBy("doc_id", "size").agg(F.min("first").alias("_first")), "mix")
-    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_plan_size"), "_first").filter("_first > 0")
-    sized = docs.withColumn("_size", mixing.words(F.col("text")))
-    joined = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_size") == F.col("_plan_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_first")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixing.mix(docs, **options).groupBy("doc_id", "size").agg(F.min("first").alias("_first")).filter("_first > 0")
+    plan = stored(plan, "mix")
+    rows, names = renamed(docs)
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (mixing.words(F.col(names["text"])) == F.col("size"))
+    joined = rows.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_first"))))
+    return joined.select(*names.values()).toDF(*docs.columns)
