@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare, stored
+from .runtime import freed, prepare, stored
 
 KEYED = "curve int, key long, vec_id long, vec binary"
 FOUND = "query_id long, vec_id long, score double, block long, ids binary, vecs binary, centre binary, cosine double"
@@ -110,7 +110,7 @@ def _keys(curves: int, dims: int, bits: int, seed: int, kind: str):
                 key = hilbert(np.clip(z * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(key), pa.array(ids), pa.array([x.tobytes() for x in rows], pa.binary())], names=["curve", "key", "vec_id", "vec"])
 
-    return run
+    return freed(run)
 
 
 def _unpack(b: pa.RecordBatch, k: int, kind: str) -> np.ndarray:
@@ -169,7 +169,7 @@ def _windows(k: int, window: int, block: int, every: int, kind: str):
         if rows is not None and (out := search(len(ids))):
             yield batch(out)
 
-    return run
+    return freed(run)
 
 
 def _chunks(size: int, kind: str):
@@ -184,7 +184,7 @@ def _chunks(size: int, kind: str):
                 yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made]), *(pa.array([p], pa.binary()) for p in packed)], names=["chunk", "query_ids", "queries", "least"])
                 made += 1
 
-    return run
+    return freed(run)
 
 
 def _bounds(kind: str):
@@ -200,7 +200,7 @@ def _bounds(kind: str):
                 if len(open_):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), chunk)), pa.array(open_)], names=["chunk", "block"])
 
-    return run
+    return freed(run)
 
 
 def _opened(k: int, kind: str):
@@ -215,7 +215,7 @@ def _opened(k: int, kind: str):
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    return run
+    return freed(run)
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, str]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import commit, filesystem, prepare, scratch, stored
+from .runtime import commit, filesystem, freed, prepare, scratch, stored
 from .tokens import encoder
 
 MAGIC = b"TOKDAC01"
@@ -141,7 +141,7 @@ def _writer(folder: str, tokenizer: str, end: int | None, roll: int, bits: int):
         if docs:
             yield flush()
 
-    return write
+    return freed(write)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 0, roll: int = 4_000_000, bits: int = 8) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .runtime import prepare
+from .runtime import freed, prepare
 from .tokens import encoder
 
 TIERS = (64, 128, 256, 512, 1024)
@@ -145,7 +145,7 @@ def _packer(tokenizer: str, end: int | None, tiers: tuple, pool: int, step: int)
         if packer.rows:
             yield packer.batch()
 
-    return run
+    return freed(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int | None = 0, tiers: tuple = TIERS, pool: int = 2048, step: int = 65_536) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, text_buffers
+from .runtime import freed, prepare, text_buffers
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -153,7 +153,7 @@ def _scorer(net: Network, at_least: float, keep: bool):
             else:
                 yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(scores), pa.array((scores >= at_least).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return run
+    return freed(run)
 
 
 def score(docs: DataFrame, net: Network, at_least: float = 0.3) -> DataFrame:

@@ -6,10 +6,12 @@ neither that setting nor a checkpoint folder exists, and the master is local, a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,18 @@ def commit(fs: pafs.FileSystem, temporary: str, final: str) -> None:
     fs.move(temporary, final)
 
 
+def freed(run: Callable) -> Callable:
+    """A function over batches that gives memory back when its input ends, as workers live on for other tasks."""
+
+    def wrapped(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(found)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,13 +98,6 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def batches(found: Iterable[pa.RecordBatch], rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows."""
-    for b in found:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The frame with columns c0, c1, ..., and each name's new one, so that no column clashes with an operator's own."""
     names = {c: f"c{k}" for k, c in enumerate(df.columns)}

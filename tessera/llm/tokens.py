@@ -8,8 +8,8 @@ encodes each of them once, and the ids of a text are those of its pieces, joined
 
 from __future__ import annotations
 
+import array
 import functools
-import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 
 from .runtime import text_buffers
 
-MEMORY = 1_500_000  # distinct pieces whose ids a worker keeps
+MEMORY = 800_000  # distinct pieces whose ids a worker keeps
 GROUP = 16 << 20  # bytes of text encoded together
+SOME = 8192  # pieces that the library encodes at once
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,11 +63,13 @@ class Encoder:
         self.ids = pa.array([], pa.list_(pa.uint32()))
 
     def _encode(self, pieces: pa.Array) -> pa.Array:
-        got = load(self.path).encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)
-        lists = [e.ids for e in got]
-        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        tokenizer, sizes, flat = load(self.path), [0], array.array("I")
+        for at in range(0, len(pieces), SOME):  # the library's answers are far larger than their ids
+            for e in tokenizer.encode_batch_fast(pieces.slice(at, SOME).to_pylist(), add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                sizes.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(flat, np.uint32) if len(flat) else np.empty(0, np.uint32)))
 
     def _ids_of(self, pieces: pa.Array) -> pa.Array:
         """The ids of each of some distinct pieces."""
