@@ -9,7 +9,8 @@ A shard answers groups of queries. Postings of rare terms are scored at once. Of
 impact in each block of documents is known; with the best rare score in the block it bounds what a query can
 find there, and blocks are taken by falling bounds, each only for the queries whose k-th best so far it can
 beat. What is taken is one product of matrices; what then comes near a query's k-th best is scored again in
-whole numbers, so ties are exact and shards merge without rounding: a term adds
+whole numbers, so ties are exact and shards merge without rounding (a task takes ``task_shards`` shards in turn,
+and what one gives prunes the next): a term adds
 round(1e6 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length))).
 """
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import commit, filesystem, prepare, scratch, stored, text_buffers
+from .runtime import commit, filesystem, freed, prepare, scratch, stored, text_buffers
 from .shingles import words
 
 K1, B, UNIT = 1.2, 0.75, 1e6
@@ -117,7 +118,7 @@ def _indexer(folder: str, every: int, shard_docs: int, shard_words: int):
         if ids:
             yield from flush()
 
-    return run
+    return freed(run)
 
 
 def _packer(folder: str, size: int):
@@ -144,7 +145,7 @@ def _packer(folder: str, size: int):
         if held and count:
             yield flush()
 
-    return run
+    return freed(run)
 
 
 class Shard:
@@ -153,9 +154,8 @@ class Shard:
     def __init__(self, data: dict[str, np.ndarray], mean: float):
         self.doc_ids, lengths, self.vocabulary, df = data["doc_ids"], data["lengths"], data["vocabulary"], data["df"]
         self.n, self.starts = len(self.doc_ids), np.append(0, np.cumsum(df))
-        self.df, self.doc = df, data["posting_doc"].astype(np.int64)
-        tf = data["posting_tf"].astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean)) if len(tf) else tf
+        self.df, self.doc, tf, self.mean, self.lengths = df, data["posting_doc"], data["posting_tf"], mean, lengths
+        self.impact = self.impacts(tf, self.doc).astype(np.float32)
         self.blocks = max(1, -(-self.n // BLOCK))
         often = np.flatnonzero(df >= max(2, self.n // 64))
         often = np.sort(often[np.argsort(-df[often], kind="stable")[:DENSE]])
@@ -168,18 +168,25 @@ class Shard:
         self.maxima = self.matrix.max(2).T if len(often) else np.zeros((0, self.blocks), np.float32)
         # Terms of each document, for scores in whole numbers.
         order = np.argsort(self.doc, kind="stable")
-        term = np.repeat(np.arange(len(df)), df)
-        self.forward_term, self.forward_impact = term[order], self.impact[order]
+        self.forward_term, self.forward_tf = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], tf[order]
         self.forward = np.append(0, np.cumsum(np.bincount(self.doc, minlength=self.n)))
 
+    def impacts(self, tf: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        tf = tf.astype(float)
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths[doc] / self.mean))
+
     def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all postings of some terms, and which of the terms each belongs to."""
         size = self.df[terms]
         row = np.repeat(np.arange(len(terms)), size)
         return self.starts[terms][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), row
 
-    def answer(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
-        """(query, doc, score) of the k best of a group of queries, and how many blocks were taken."""
+    def answer(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, found: list[list[tuple[int, int]]] | None = None) -> tuple[list[list[tuple[int, int]]], int]:
+        """The k best (-score, doc) of each of a group of queries, and how many blocks were taken for how many queries.
+
+        ``found`` holds what other shards gave: it is merged, and what can't beat it is skipped.
+        """
+        found = found or [[] for _ in ids]
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
@@ -196,6 +203,8 @@ class Shard:
         bound = query @ self.maxima + scores.reshape(n, self.blocks, BLOCK).max(2)
         slack = 1e-5 * bound.max(1) + 1e-3
         best = np.zeros((n, k), np.float32)  # documents that share no term are no result
+        for i, f in enumerate(found):
+            best[i, : len(f)] = [-x / UNIT for x, _ in f]
         taken, count = np.zeros((n, self.blocks), bool), 0
         for b in np.argsort(-bound.max(0), kind="stable"):
             rows = np.flatnonzero(bound[:, b] >= best.min(1) - slack)
@@ -211,7 +220,6 @@ class Shard:
             best[rows] = np.partition(np.concatenate([best[rows], tile], 1), BLOCK, axis=1)[:, -k:] if k <= BLOCK else best[rows]
             taken[rows, b] = True
             count += len(rows)
-        out = []
         whole = np.zeros(len(self.vocabulary))
         ends = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
         for q in range(n):
@@ -223,12 +231,13 @@ class Shard:
             whole[local[mine]] = weight[mine]
             size = self.forward[docs + 1] - self.forward[docs]
             place = np.repeat(self.forward[docs] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
-            adds = np.rint(UNIT * (whole[self.forward_term[place]] * self.forward_impact[place])).astype(np.int64)
+            impact = self.impacts(self.forward_tf[place], np.repeat(docs, size))
+            adds = np.rint(UNIT * (whole[self.forward_term[place]] * impact)).astype(np.int64)
             total = np.add.reduceat(adds, np.append(0, np.cumsum(size)[:-1]))
             whole[local[mine]] = 0
-            for i in np.lexsort((self.doc_ids[docs], -total))[:k]:
-                out.append((int(ids[q]), int(self.doc_ids[docs[i]]), int(total[i])))
-        return out, count
+            first = np.lexsort((self.doc_ids[docs], -total))[:k]
+            found[q] = sorted([*found[q], *zip((-total[first]).tolist(), self.doc_ids[docs[first]].tolist())])[:k]
+        return found, count
 
     def _own(self, ids: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(self.doc_ids, kind="stable")
@@ -236,25 +245,33 @@ class Shard:
         return [order[x:y] for x, y in zip(a, z)]
 
 
-def _searcher(files: list[str], docs: int, mean: float, k: int):
+def _searcher(files: list[str], docs: int, mean: float, k: int, window: int = 16):
+    """Answers of all shards of a task, merged; for ``window`` files of queries at a time."""
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            for path in b.column(0).to_pylist():
+        paths = sorted(p for b in found for p in b.column(0).to_pylist())
+        for begin in range(0, len(files), window):
+            best: dict = {}
+            for path in paths:
                 shard = Shard(_load(path), mean)
-                for name in files:
+                for name in files[begin : begin + window]:
                     q = _load(name)
                     idf = np.log(1 + (docs - q["df"] + 0.5) / (q["df"] + 0.5))
                     for low in range(0, len(q["ids"]), GROUP):
-                        at = q["offsets"][low : low + GROUP + 1]
+                        at, ids = q["offsets"][low : low + GROUP + 1], q["ids"][low : low + GROUP]
                         part = slice(at[0], at[-1])
-                        out, _ = shard.answer(q["ids"][low : low + GROUP], at - at[0], q["terms"][part], idf[part], k)
-                        if out:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "doc_id", "score"])
+                        before = best.get((name, low), (None, None))[1]
+                        best[name, low] = ids, shard.answer(ids, at - at[0], q["terms"][part], idf[part], k, before)[0]
+                del shard
+            for ids, lists in best.values():
+                rows = [(q, d, -s) for q, own in zip(ids.tolist(), lists) for s, d in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "doc_id", "score"])
 
-    return run
+    return freed(run)
 
 
-def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 8192, shard_words: int = 1 << 23, query_file: int = 4096) -> DataFrame:
+def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 8192, shard_words: int = 1 << 22, query_file: int = 4096, task_shards: int = 4) -> DataFrame:
     """query_id, rank, doc_id and score of the k best documents for each document whose doc_id is divisible by ``every``.
 
     A query is the set of its text's words (runs of anything but ASCII white space, A-Z lowered). Its own
@@ -282,7 +299,7 @@ def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 81
     laid = known.repartitionByRange("cluster", "query_id").sortWithinPartitions("cluster", "query_id").select("query_id", "terms")
     files = stored(laid.mapInArrow(_packer(scratch(spark, "queries"), query_file), "path string"), "query-files")
     names = sorted(r["path"] for r in files.collect())  # one name for thousands of queries
-    found = shards.select("path").repartition(min(n, 10_000)).mapInArrow(_searcher(names, docs, total / docs, k), result)
+    found = shards.select("path").repartition(-(-n // task_shards)).mapInArrow(_searcher(names, docs, total / docs, k), result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "doc_id", (F.col("score") / UNIT).alias("score"))
