@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page_id over partitions, and each partition writes gzip members into files that
-roll at a compressed size. A file is written under a temporary name and renamed when it is whole; the
+Page ids are cut into ranges of about ``shard`` bytes of payload: a histogram of at most BUCKETS rows gives the
+cuts, so they follow from the data alone, whatever the cluster. A range is sorted by one task, which writes gzip members
+into files that roll at a compressed size, and its number is in their names. A file is written under a temporary name and renamed when it is whole; the
 manifest, a table with one row a file, is written last, and only files that it names count. A task that is
 run again writes the same bytes. Headers are made anew from the row: record ids are UUIDs of page_id and
 digest, the date is a parameter, digests are computed from the bytes written.
@@ -19,14 +20,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import commit, filesystem, prepare, scratch, stored
 
 EOL = b"\r\n"
+BUCKETS = 1 << 18
 IDS = uuid.UUID("6f1c9a52-52c9-4f0b-9d3e-0c6a6d2b7d11")
 # Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -73,11 +76,10 @@ def _member(data: bytes, level: int) -> bytes:
 
 
 class _Files:
-    """The files of one task."""
+    """The files of one range."""
 
-    def __init__(self, folder: str, roll: int, level: int, date: str):
-        task = TaskContext.get()
-        self.part, self.attempt = task.partitionId(), task.taskAttemptId()
+    def __init__(self, part: int, folder: str, roll: int, level: int, date: str):
+        self.part, self.attempt = part, TaskContext.get().taskAttemptId()
         self.folder, self.roll, self.level, self.date, self.n, self.out = folder, roll, level, date, 0, None
 
     def add(self, page_id, record: bytes) -> list:
@@ -112,11 +114,14 @@ class _Files:
 
 def _writer(folder: str, roll: int, level: int, date: str):
     def write(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, key, first, listed, seen = _Files(folder, roll, level, date), (), None, False, 0
+        files, key, first, listed, seen = None, (), None, False, 0
         schema = pa.schema([("path", pa.string()), ("first_page_id", pa.int64()), ("last_page_id", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
         for b in found:
             rows = []
-            for page_id, digest, is_page, target, url, html in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for page_id, digest, is_page, target, url, html, part in zip(*(b.column(k).to_pylist() for k in range(7))):
+                if files is None or files.part != part:
+                    rows += files.close() if files else []
+                    files = _Files(part, folder, roll, level, date)
                 if (page_id, digest) != key:
                     key, first, listed, seen = (page_id, digest), None, False, 0
                 if not is_page:
@@ -127,13 +132,26 @@ def _writer(folder: str, roll: int, level: int, date: str):
                 rows += files.add(page_id, render(page_id, url, (html or "").encode(), digest, first, revisit, date))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        if rows := files.close():
+        if files and (rows := files.close()):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return write
 
 
-def write(pages: DataFrame, folder: str, roll: int = 64 << 20, least: int = 100, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def ranges(pages: DataFrame, shard: int) -> tuple[Column, DataFrame, int]:
+    """The bucket of a page_id, the range of each bucket in a frame of at most BUCKETS rows, and the number of ranges."""
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    bucket = F.coalesce(F.floor((F.col("page_id") - low) / ((high - low) // BUCKETS + 1)), F.lit(0)).cast("int")
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 500
+    held = pages.groupBy(bucket.alias("bucket")).agg(F.sum(size).alias("bytes")).toPandas().sort_values("bucket")
+    before = held["bytes"].cumsum() - held["bytes"]
+    held["range"] = pd.factorize(before // shard)[0].astype("int32") if len(held) else pd.Series([], dtype="int32")
+    found = pages.sparkSession.createDataFrame(held[["bucket", "range"]].astype("int32"), "bucket int, range int")
+    return bucket, found, int(held["range"].max()) + 1 if len(held) else 1
+
+
+def write(pages: DataFrame, folder: str, roll: int = 64 << 20, shard: int = 32 << 20, least: int = 100, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) as WARC files and return the manifest.
 
     A null html is an empty payload; a null url becomes urn:page:<id>. Payloads under ``least`` bytes are
@@ -149,7 +167,9 @@ def write(pages: DataFrame, folder: str, roll: int = 64 << 20, least: int = 100,
     none = F.lit(None)
     rows = listed.select("page_id", "digest", F.lit(False).alias("is_page"), "target", none.cast("string").alias("url"), none.cast("string").alias("html"))
     rows = rows.unionByName(pages.select("page_id", digest.alias("digest"), F.lit(True).alias("is_page"), none.cast("long").alias("target"), "url", "html"))
-    laid = rows.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "is_page", "url")
+    bucket, found, n = ranges(pages, shard)
+    numbered = rows.withColumn("bucket", bucket).join(F.broadcast(found), "bucket").drop("bucket")
+    laid = numbered.repartition(n, "range").sortWithinPartitions("range", "page_id", "digest", "is_page", "url")
     return stored(laid.mapInArrow(_writer(folder, roll, level, date), MANIFEST), "warc-manifest")
 
 

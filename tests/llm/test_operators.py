@@ -407,6 +407,20 @@ def test_archive(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_archive_files_do_not_depend_on_partitions(spark, tmp_path):
+    pages = spark.createDataFrame([(i * 37 % 1009, f"u{i}", "text " * (i % 90)) for i in range(1009)] + [(None, "x", "y")], "page_id long, url string, html string")
+    for k, n in ((0, 1), (1, 7)):
+        warc.write(pages.repartition(n, "url"), str(tmp_path / str(k)), roll=20_000, shard=60_000)
+    a, b = ({f.name: f.read_bytes() for f in (tmp_path / str(k)).glob("*.warc.gz")} for k in (0, 1))
+    assert a == b and len(a) > 6
+    last = -1
+    for name in sorted(a):
+        for record in warc.members([a[name]]):
+            page = int(warc.parse(record)[0].get("x-page-id", last))
+            assert page >= last
+            last = page
+
+
 def test_broken_records_are_found():
     record = warc.render(1, "http://x", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False, "2024-01-01T00:00:00Z")
     warc.parse(record)
