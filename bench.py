@@ -48,7 +48,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     home = tempfile.mkdtemp(prefix="bench-")
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").withColumn("l_key", F.format_string("key%08d", "l_orderkey"))
-    lines = lines.repartition(8).sortWithinPartitions("l_orderkey").cache()
+    lines = lines.repartitionByRange(8, "l_orderkey").sortWithinPartitions("l_orderkey").cache()
     lines.count()
     index = "l_orderkey,l_partkey,l_key"
     tables.write_indexed(lines, f"{home}/indexed", index=index, strict_types=False)
