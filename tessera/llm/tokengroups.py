@@ -7,17 +7,19 @@ Sets that share no segment can't be linked, whatever else they share (a common p
 don't make a whole segment equal). Sets that do are linked to the first of each segment, and the connected
 components of these links are the groups of similar sets.
 
-Matrix. A group is laid out by size in blocks of bounded numbers of sets and tokens. A block stores its
-tokens' union and the members of each token. The overlap of a query with a block's union bounds its overlap
-with every member, so a block is opened only for the queries whose bound reaches t, and only by blocks of
-fitting sizes of the same group. What is opened is one product of matrices over the tokens that both hold,
-and gives exact overlaps. It leaves one edge a set, not all pairs, and the number of its links.
+Matrix. A group is laid out by size in blocks of bounded numbers of sets and tokens, which tasks write to files in the shared
+folder, with a bitmap of hashed tokens for each set and so, by their union, for the block. Blocks of fitting
+sizes of one group meet. What a query's bitmap has outside a block's union it can't share with any member,
+which bounds its overlap with all of them; only if some query's bound reaches t are the members' bitmaps
+multiplied, and only members whose own bound reaches t are opened: their tokens are read and a product of
+matrices over the tokens gives exact overlaps. It leaves one edge a set, not all pairs, and the number of its links.
 
 Equal sets are joined before, by a 128-bit fingerprint, and stand as one with a weight.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .components import components
-from .runtime import prepare, stored
+from .runtime import commit, filesystem, freed, prepare, scratch, stored
 from .shingles import mix
 
-BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 20, 4096
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 17, 4096
 MAPPINGS = 3
 
 
@@ -121,7 +123,7 @@ def _prints(width: int):
             key = prints(flat, offsets)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(key, pa.binary()), pa.array(nodes(key), pa.int64())], names=["doc_id", "n_shingles", "print", "node"])
 
-    return run
+    return freed(run)
 
 
 def _signed(width: int, percent: int):
@@ -136,7 +138,7 @@ def _signed(width: int, percent: int):
             sig, at = signatures(flat[np.repeat(pick, sizes)], np.append(0, np.cumsum(sizes[once])), percent)
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(own[once], np.diff(at)))], names=["sig", "node"])
 
-    return run
+    return freed(run)
 
 
 def _firsts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,89 +177,100 @@ def _firsts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((s, d, d) for s, d in ends))], names=["sig", "a", "b"])
 
 
-BLOCK = "family long, block long, low long, high long, docs binary, weights binary, offsets binary, tokens binary"
-
-
-def _blocks(width: int):
-    """Sets of the docs of a family, in order of family and size, in blocks."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, now = TaskContext.get().partitionId(), 0, None
-        held: list = []
-
-        def block() -> pa.RecordBatch:
-            nonlocal made, held
-            docs, weights, sets = zip(*held)
-            sizes = [len(x) for x in sets]
-            row = [now, (task << 32) + made, min(sizes), max(sizes), np.array(docs, np.int64).tobytes(), np.array(weights, np.int64).tobytes(), np.append(0, np.cumsum(sizes)).astype(np.int64).tobytes(), np.concatenate(sets).tobytes()]
-            made, held = made + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in row], names=[x.split()[0] for x in BLOCK.split(", ")])
-
-        tokens, last = 0, None
-        for part, flat, offsets in _slices(found, 3, width):
-            for family, doc, weight, key, own, a, z in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 4)), prints(flat, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
-                if key != own or (doc, key) == last:  # another text of this doc_id, or the same row again
-                    continue
-                last = (doc, key)
-                if held and (family != now or len(held) >= BLOCK_SETS or tokens + z - a > BLOCK_TOKENS):
-                    yield block()
-                    tokens = 0
-                now = family
-                held.append((doc, weight, flat[a:z]))
-                tokens += z - a
-        if held:
-            yield block()
-
-    return run
+BLOCK = "family long, block long, low long, high long, path string, at long, sets long, size long, a long, b long, links long"
+BITS = 4096
 
 
 class Block:
-    """The sets of a block: docs, weights, sizes, and (row, token) of all tokens."""
-
-    def __init__(self, docs: bytes, weights: bytes, offsets: bytes, tokens: bytes):
-        self.docs, self.weights = np.frombuffer(docs, np.int64), np.frombuffer(weights, np.int64)
-        self.sizes = np.diff(np.frombuffer(offsets, np.int64))
-        self.tokens = np.frombuffer(tokens, np.uint64)
-        self.rows = np.repeat(np.arange(len(self.docs)), self.sizes)
-        self.union = np.unique(self.tokens)
+    """The sets of a block: docs, weights, sizes and bitmaps, and their tokens when they are asked for."""
+
+    def __init__(self, docs: np.ndarray, weights: np.ndarray, sizes: np.ndarray, marks: np.ndarray, tokens):
+        self.docs, self.weights, self.sizes, self.marks, self._tokens = docs, weights, sizes, marks, tokens
+        self.matrix = np.unpackbits(marks, axis=1).astype(np.float32)
+        self.counts = self.matrix.sum(1)
+        self.union = self.matrix.max(0)
+
+    @staticmethod
+    def of(docs: list[int], weights: list[int], sets: list[np.ndarray]) -> Block:
+        sizes, tokens = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
+        bits = np.zeros((len(docs), BITS), bool)
+        bits[np.repeat(np.arange(len(docs)), sizes), (mix(tokens + np.uint64(99)) >> np.uint64(20)) % np.uint64(BITS)] = True
+        return Block(np.array(docs, np.int64), np.array(weights, np.int64), sizes, np.packbits(bits, axis=1), tokens)
+
+    def pack(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.docs, self.weights, self.sizes, self.marks, self.tokens))
+
+    @staticmethod
+    def load(path: str, at: int, sets: int, size: int) -> Block:
+        fs, place = filesystem(path)
+        head = sets * (24 + BITS // 8)
+
+        def read(start: int, stop: int) -> bytes:
+            with fs.open_input_file(place) as f:
+                f.seek(at + start)
+                return f.read(stop - start)
+
+        data = read(0, head)
+        numbers = np.frombuffer(data, np.int64, 3 * sets).reshape(3, sets)
+        marks = np.frombuffer(data, np.uint8, offset=24 * sets).reshape(sets, -1)
+        return Block(*numbers, marks, lambda: np.frombuffer(read(head, size), np.uint64))
+
+    @property
+    def tokens(self) -> np.ndarray:
+        if callable(self._tokens):
+            self._tokens = self._tokens()
+        return self._tokens
+
+    def members(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, token) of all tokens of some sets."""
+        keep = np.zeros(len(self.docs), bool)
+        keep[rows] = True
+        of = np.repeat(np.arange(len(self.docs)), self.sizes)
+        pick = keep[of]
+        return of[pick], self.tokens[pick]
 
 
 def overlaps(a: Block, b: Block, percent: int) -> np.ndarray | None:
     """Which sets of a are linked to which of b; None if the bounds open nothing."""
-    both = np.intersect1d(a.union, b.union, assume_unique=True)
-    if not len(both):
-        return None
 
-    def shared(x: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(both, x.tokens), len(both) - 1)
-        hit = both[at] == x.tokens
-        return at[hit], x.rows[hit], np.bincount(x.rows[hit], minlength=len(x.docs))
+    def reach(x: Block, y: Block) -> np.ndarray:
+        """Which sets of x may be linked to a member of y, by what they have outside its union."""
+        most = x.sizes - (x.counts - x.matrix @ y.union)
+        return (100 + percent) * most >= percent * (x.sizes + y.sizes.min())
 
-    (ca, ra, na), (cb, rb, nb) = shared(a), shared(b)
-    open_a = (100 + percent) * na >= percent * (a.sizes + b.sizes.min())
-    open_b = (100 + percent) * nb >= percent * (b.sizes + a.sizes.min())
-    if not open_a.any() or not open_b.any():
+    rows, cols = np.flatnonzero(reach(a, b)), np.flatnonzero(reach(b, a))
+    if not len(rows) or not len(cols):
         return None
-    keep_a, keep_b = open_a[ra], open_b[rb]
-    ca, ra, cb, rb = ca[keep_a], ra[keep_a], cb[keep_b], rb[keep_b]
+    both = a.matrix[rows] @ b.matrix[cols].T
+    sizes = a.sizes[rows][:, None] + b.sizes[cols][None, :]
+    most = np.minimum((a.sizes - a.counts)[rows][:, None], (b.sizes - b.counts)[cols][None, :]) + both
+    open_ = (100 + percent) * most >= percent * sizes
+    rows, cols = rows[open_.any(1)], cols[open_.any(0)]
+    if not len(rows):
+        return None
+    (ra, ta), (rb, tb) = a.members(rows), b.members(cols)
+    shared = np.intersect1d(np.unique(ta), np.unique(tb), assume_unique=True)
+
+    def columns(r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, t), max(0, len(shared) - 1))
+        hit = shared[at] == t if len(shared) else np.zeros(len(t), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], r[hit][order]
+
+    (ca, ra), (cb, rb) = columns(ra, ta), columns(rb, tb)
     total = np.zeros((len(a.docs), len(b.docs)), np.float32)
-    # Tokens in order of column, a slice of columns at a time.
-    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
-    ca, ra, cb, rb = ca[oa], ra[oa], cb[ob], rb[ob]
-    for low in range(0, len(both), COLUMNS):
+    for low in range(0, len(shared), COLUMNS):
         sa, sb = slice(*np.searchsorted(ca, [low, low + COLUMNS])), slice(*np.searchsorted(cb, [low, low + COLUMNS]))
-        if sa.start < sa.stop and sb.start < sb.stop:
-            width = min(COLUMNS, len(both) - low)
-            x, y = np.zeros((len(a.docs), width), np.float32), np.zeros((len(b.docs), width), np.float32)
-            x[ra[sa], ca[sa] - low] = 1
-            y[rb[sb], cb[sb] - low] = 1
-            total += x @ y.T
+        width = min(COLUMNS, len(shared) - low)
+        x, y = np.zeros((len(a.docs), width), np.float32), np.zeros((len(b.docs), width), np.float32)
+        x[ra[sa], ca[sa] - low] = 1
+        y[rb[sb], cb[sb] - low] = 1
+        total += x @ y.T
     return (100 + percent) * total.astype(np.int64) >= percent * (a.sizes[:, None] + b.sizes[None, :])
 
 
 def _edges(docs: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     """An edge from each doc to the smallest of its component in a symmetric matrix of links."""
-    label = np.arange(len(docs))
     rank = np.argsort(np.argsort(docs, kind="stable"), kind="stable")
     label = rank.copy()
     while True:
@@ -269,33 +282,81 @@ def _edges(docs: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return [(int(d), int(by[k])) for d, k in zip(docs, label) if d != by[k]]
 
 
+def _found(a: Block, b: Block | None, percent: int) -> list[tuple]:
+    """Edges (a, b, None) and numbers of links (a, None, n) between two blocks, or within one."""
+    linked = overlaps(a, b or a, percent)
+    if linked is None:
+        return []
+    if b is None:
+        docs, square = a.docs, linked & ~np.eye(len(a.docs), dtype=bool)
+        counts = [(docs, square @ a.weights)]
+    else:
+        n = len(a.docs)
+        docs, square = np.append(a.docs, b.docs), np.zeros((n + len(b.docs),) * 2, bool)
+        square[:n, n:], square[n:, :n] = linked, linked.T
+        counts = [(a.docs, linked @ b.weights), (b.docs, linked.T @ a.weights)]
+    return [(x, y, None) for x, y in _edges(docs, square)] + [(int(d), None, int(c)) for ds, cs in counts for d, c in zip(ds, cs) if c]
+
+
+def _blocks(folder: str, width: int, percent: int):
+    """Of docs in order of family and size: blocks, written to one file a task, and the links within each."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, now, tokens, last, place = TaskContext.get(), 0, None, 0, None, 0
+        held: list = []
+        fs, base = filesystem(folder)
+        fs.create_dir(base)
+        name = f"blocks-{task.partitionId():06d}"
+        temporary, out = f"{base}/.{name}.{task.taskAttemptId()}", None
+        names = [x.split()[0] for x in BLOCK.split(", ")]
+
+        def block() -> pa.RecordBatch:
+            nonlocal made, held, out, place
+            out = out or fs.open_output_stream(temporary)
+            made_of = Block.of(*zip(*held))
+            data = made_of.pack()
+            out.write(data)
+            sizes = made_of.sizes
+            rows = [(now, (task.partitionId() << 32) + made, int(sizes.min()), int(sizes.max()), f"{folder}/{name}", place, len(held), len(data), None, None, None)]
+            rows += [(None,) * 8 + x for x in _found(made_of, None, percent)]
+            made, held, place = made + 1, [], place + len(data)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "path" else pa.int64()) for c, n in zip(zip(*rows), names)], names=names)
+
+        for part, flat, offsets in _slices(found, 3, width):
+            for family, doc, weight, key, own, a, z in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 4)), prints(flat, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
+                if key != own or (doc, key) == last:  # another text of this doc_id, or the same row again
+                    continue
+                last = (doc, key)
+                if held and (family != now or len(held) >= BLOCK_SETS or tokens + z - a > BLOCK_TOKENS):
+                    yield block()
+                    tokens = 0
+                now = family
+                held.append((doc, weight, flat[a:z]))
+                tokens += z - a
+        if held:
+            yield block()
+        if out:
+            out.close()
+            commit(fs, temporary, f"{base}/{name}")
+
+    return freed(run)
+
+
 LINKS = "a long, b long, links long"
 
 
-def _join(percent: int, two: bool):
-    """Edges (a, b) and, where b is null, what the pair of blocks adds to the links of a."""
+def _across(percent: int, kept: int = 4):
+    """Links between pairs of blocks, which come in order of the first."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = functools.lru_cache(maxsize=kept)(Block.load)
         for batch in found:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(8 if two else 4))):
-                a = Block(*row[:4])
-                b = Block(*row[4:]) if two else a
-                linked = overlaps(a, b, percent)
-                if linked is None:
-                    continue
-                if two:
-                    n = len(a.docs)
-                    docs, square = np.append(a.docs, b.docs), np.zeros((n + len(b.docs),) * 2, bool)
-                    square[:n, n:], square[n:, :n] = linked, linked.T
-                    counts = [(a.docs, linked @ b.weights), (b.docs, linked.T @ a.weights)]
-                else:
-                    docs, square = a.docs, linked & ~np.eye(len(a.docs), dtype=bool)
-                    counts = [(docs, square @ a.weights)]
-                rows = [(x, y, None) for x, y in _edges(docs, square)] + [(int(d), None, int(c)) for ds, cs in counts for d, c in zip(ds, cs) if c]
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                rows = _found(load(*row[:4]), load(*row[4:]), percent)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "links"])
 
-    return run
+    return freed(run)
 
 
 WORDS = 1 << 17
@@ -344,19 +405,19 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     near = real.join(F.broadcast(bits(single, "doc")), among("doc_id"), "left_semi")
     chosen = single.join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
     laid = chosen.repartitionByRange("family", "n_shingles", "doc").sortWithinPartitions("family", "n_shingles", "doc", "print").drop("n_shingles")
-    blocks = stored(laid.mapInArrow(_blocks(width), BLOCK), "blocks")
+    blocks = stored(laid.mapInArrow(_blocks(scratch(docs.sparkSession, "block-files"), width, percent), BLOCK), "blocks")
 
     # Pairs of blocks of a group whose sizes fit.
-    sides = ["docs", "weights", "offsets", "tokens"]
-    alone = blocks.select(*sides).mapInArrow(_join(percent, False), LINKS)
-    place = stored(blocks.select("family", "block", "low", "high"), "block-sizes")
-    a, b = place.alias("a"), place.alias("b")
+    place = ["path", "at", "sets", "size"]
+    listed = stored(blocks.filter("family is not null").select("family", "block", "low", "high", *place), "block-list")
+    a, b = listed.alias("a"), listed.alias("b")
     fit = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
-    pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") < F.col("b.block")) & fit).select(F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    left = blocks.select(F.col("block").alias("x"), *[F.col(c).alias(f"x_{c}") for c in sides])
-    right = blocks.select(F.col("block").alias("y"), *[F.col(c).alias(f"y_{c}") for c in sides])
-    both = pairs.join(left, "x").join(right, "y").select(*[f"x_{c}" for c in sides], *[f"y_{c}" for c in sides])
-    links = stored(alone.unionByName(both.mapInArrow(_join(percent, True), LINKS)), "links")
+    pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") < F.col("b.block")) & fit)
+    pairs = pairs.select(F.col("a.block").alias("x"), F.col("b.block").alias("y"), *[F.col(f"a.{c}").alias(f"x_{c}") for c in place], *[F.col(f"b.{c}").alias(f"y_{c}") for c in place])
+    spread = max(1, docs.sparkSession.sparkContext.defaultParallelism * 8)
+    pairs = pairs.repartitionByRange(spread, "x", "y").sortWithinPartitions("x", "y").drop("x", "y")
+    across = pairs.mapInArrow(_across(percent), LINKS)
+    links = stored(blocks.filter("a is not null").select("a", "b", "links").unionByName(across), "links")
 
     # Rows of one doc_id with different sets are one node.
     twice = known.groupBy("doc_id").agg(F.count_distinct("print").alias("n")).filter("n > 1").select("doc_id")
