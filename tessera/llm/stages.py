@@ -30,15 +30,18 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Documents without words, and those without doc_id, are groups of their own.
     """
     prepare(docs.sparkSession)
-    groups = stored(tokengroups.join(docs, width, percent).select("doc_id", "component_id"), "groups")
-    first = stored(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "firsts-of-groups")
+    groups = stored(tokengroups.join(docs, width, percent).select("doc_id", "component_id").filter("doc_id is not null"), "groups")
+    counts = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    odd = stored(counts.filter("doc_id <> first OR n > 1").select("doc_id", (F.col("doc_id") == F.col("first")).alias("_stays")), "duplicates")
+    # Most documents are certainly not among these by a bitmap of fixed size, and stay without a shuffle of their texts.
     rows, names = renamed(docs)
-    own = F.col(names["doc_id"])
-    once = rows.join(first.filter("n = 1"), own == F.col("doc_id"), "left_semi")
-    again = rows.join(first.filter("n > 1"), own == F.col("doc_id"), "left_semi")
+    key, marks = names["doc_id"], F.broadcast(tokengroups.bits(odd, "doc_id"))
+    maybe = rows.join(marks, tokengroups.among(key), "left_semi")
+    plain = rows.join(marks, tokengroups.among(key), "left_anti")
+    both = maybe.join(odd.hint("merge"), F.col(key) == F.col("doc_id"), "left")
     whole = F.struct(*names.values())
-    again = again.groupBy(own.alias("_doc")).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
-    return once.unionByName(again).unionByName(rows.filter(own.isNull())).toDF(*docs.columns)
+    again = both.filter("_stays").groupBy(F.col(key).alias("_doc")).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return plain.unionByName(both.filter("_stays is null").select(*names.values())).unionByName(again).toDF(*docs.columns)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -51,5 +54,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plan = stored(plan, "mix")
     rows, names = renamed(docs)
     same = F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (mixing.words(F.col(names["text"])) == F.col("size"))
-    joined = rows.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_first"))))
+    # The plan has a row a document, so it is merged at any size.
+    joined = rows.join(plan.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_first"))))
     return joined.select(*names.values()).toDF(*docs.columns)

@@ -403,8 +403,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sized = printed.select(F.col("doc_id").alias("doc"), "print", "n_shingles").distinct()
     single = stored(single.join(sized, ["doc", "print"]), "group-members")
     near = real.join(F.broadcast(bits(single, "doc")), among("doc_id"), "left_semi")
-    chosen = single.join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
-    laid = chosen.repartitionByRange("family", "n_shingles", "doc").sortWithinPartitions("family", "n_shingles", "doc", "print").drop("n_shingles")
+    chosen = single.hint("merge").join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
+    spread = max(1, docs.sparkSession.sparkContext.defaultParallelism * 16)
+    laid = chosen.repartitionByRange(spread, "family", "n_shingles", "doc").sortWithinPartitions("family", "n_shingles", "doc", "print").drop("n_shingles")
     blocks = stored(laid.mapInArrow(_blocks(scratch(docs.sparkSession, "block-files"), width, percent), BLOCK), "blocks")
 
     # Pairs of blocks of a group whose sizes fit.
@@ -414,7 +415,6 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     fit = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
     pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") < F.col("b.block")) & fit)
     pairs = pairs.select(F.col("a.block").alias("x"), F.col("b.block").alias("y"), *[F.col(f"a.{c}").alias(f"x_{c}") for c in place], *[F.col(f"b.{c}").alias(f"y_{c}") for c in place])
-    spread = max(1, docs.sparkSession.sparkContext.defaultParallelism * 8)
     pairs = pairs.repartitionByRange(spread, "x", "y").sortWithinPartitions("x", "y").drop("x", "y")
     across = pairs.mapInArrow(_across(percent), LINKS)
     links = stored(blocks.filter("a is not null").select("a", "b", "links").unionByName(across), "links")
