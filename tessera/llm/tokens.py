@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .runtime import text_buffers
 
-MEMORY = 800_000  # distinct pieces whose ids a worker keeps
-GROUP = 16 << 20  # bytes of text encoded together
+MEMORY = 500_000  # distinct pieces whose ids a worker keeps
+GROUP = 8 << 20  # bytes of text encoded together
 SOME = 8192  # pieces that the library encodes at once
 
 
