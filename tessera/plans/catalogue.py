@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as P
