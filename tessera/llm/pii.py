@@ -15,7 +15,8 @@ matches that fail their test are dropped without another try:
 Matches of ip, card and phone consist of [0-9.\\x20()+-], so they lie in runs of these characters, which are
 what a digit expands to. The method adds: url (scheme, user information and host), account (IBAN that
 passes mod 97, numbers after an account cue, social security numbers after theirs) and secret (values after
-a password or token cue, access key ids).
+a password or token cue, access key ids). User information has any length, and so has a value: 8
+characters or more, one of them a digit, bare or between equal quotes.
 """
 
 from __future__ import annotations
@@ -41,10 +42,11 @@ RUN = re.compile(r"[0-9.\x20()+-]+")
 CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+([0-9][\x20().0-9-]+)")
-HOST = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=:-]{1,256}@)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(:[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
+HOST = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=:-]++@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(:[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
 NUMBER = re.compile(r"(?:\s?(?:no|nr|number|id))?\.?\s?[:#=]?\s?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
 SSN = re.compile(r"\s?[:#=]?\s?((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
-VALUE = re.compile(r"\s{0,2}[:=]\s{0,2}([\"']?)([A-Za-z0-9_+/=.-]{8,512})\1")
+GIVEN = re.compile(r"\s{0,2}[:=]\s{0,2}([\"']?)")
+VALUE = re.compile(r"([A-Za-z0-9_+/=.-]*[0-9])?[A-Za-z_+/=.-]*")  # the group ends behind the last digit
 KEY_ID = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
@@ -126,6 +128,7 @@ def _scheme(text: str, at: int) -> int | None:
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as in KINDS, then start; offsets count code points, the end is exclusive."""
     out, mail, runs, url, account, secret = [], 0, 0, 0, 0, 0
+    value, digit = 0, 0  # where the last run of a value's characters ends, and its last digit
     for last, (kind, size) in _automaton().iter(text or ""):
         stop, start = last + 1, last + 1 - size
         if kind == "digit":
@@ -139,7 +142,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 out.append(("email", begin, mail))
         elif kind == "url":
             begin = _scheme(text, start)
-            if begin is not None and begin >= url and (m := HOST.match(text, stop)) and m[1]:
+            if begin is not None and begin >= url and (m := HOST.match(text, stop)):
                 url = m.end()
                 out.append(("url", begin, url))
         elif kind == "iban":
@@ -156,9 +159,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if start >= secret and (start == 0 or not text[start - 1].isalnum()) and (m := KEY_ID.match(text, start)):
                 secret = m.end()
                 out.append(("secret", start, secret))
-        elif stop >= secret and (m := VALUE.match(text, stop)) and any(c.isdigit() for c in m[2]):
-            secret = m.end(2)
-            out.append(("secret", m.start(2), secret))
+        elif stop >= secret and (m := GIVEN.match(text, stop)):
+            begin = m.end()
+            if begin >= value:  # else a cue within that run: its value is the rest of it
+                run = VALUE.match(text, begin)
+                value, digit = run.end(), run.end(1)
+            if value - begin >= 8 and digit > begin and text.startswith(m[1], value):
+                secret = value
+                out.append(("secret", begin, secret))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

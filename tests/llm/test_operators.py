@@ -373,6 +373,20 @@ def test_pii_is_linear():
         pii.find(text)
 
 
+def test_secrets_and_user_information_of_any_length():
+    long = "aB3_" * 2500
+    for text, kind, inner in ((f"token={long} end", "secret", long), (f'token = "{long}" end', "secret", long), (f"see https://bob:{long}@db.example.com/x end", "url", f"https://bob:{long}@db.example.com/x")):
+        assert [(k, text[a:b]) for k, a, b in pii.find(text) if k == kind] == [(kind, inner)]
+        assert long[-9:] not in pii.mask(text)
+    for text in ("token=" * 50_000, "token=" * 50_000 + "1", 'token="' + "token=" * 50_000 + "1", "token='" * 50_000, "http://" + "a:" * 150_000, "http://a.b/" * 30_000):
+        pii.find(text)
+
+
+def test_a_secret_within_a_value_that_is_none():
+    text = "secret=my_token='abc12345' x, password=\"pwd=abc123456 y, pwd=nodigitshere token=longer_than_8"
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "secret"] == ["abc12345", "abc123456", "longer_than_8"]
+
+
 def test_pii_rows(spark):
     rows = [(1, "mail é a.b@c.de or 10.0.0.1", ""), (2, None, ""), (2, "", ""), (None, "+1 (555) 555-5555", "")]
     got = {r["spans"]: r for r in pii.detect(frame(spark, rows)).collect()}
