@@ -13,8 +13,9 @@ matches that fail their test are dropped without another try:
   phone  \\+[0-9][\\x20().0-9-]+[0-9]                 9 to 15 digits
 
 Matches of ip, card and phone consist of [0-9.\\x20()+-], so they lie in runs of these characters, which are
-what a digit expands to. The method adds: url (scheme, user information and host), account (IBAN that
-passes mod 97, numbers after an account cue, social security numbers after theirs) and secret (values after
+what a digit expands to. The method adds: url (scheme, user information and host), account (IBAN of any
+country that passes mod 97, numbers after an account cue, social security numbers after theirs; "no", "nr",
+"number" or "id" may follow a cue in any case) and secret (values after
 a password or token cue, access key ids). User information has any length, and so has a value: 8
 characters or more, one of them a digit, bare or between equal quotes.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -43,13 +45,14 @@ CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+([0-9][\x20().0-9-]+)")
 HOST = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=:-]++@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(:[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
-NUMBER = re.compile(r"(?:\s?(?:no|nr|number|id))?\.?\s?[:#=]?\s?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
-SSN = re.compile(r"\s?[:#=]?\s?((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
+QUALIFIER = r"(?:\s?(?i:no|nr|number|id))?\.?\s?[:#=]?\s?"
+NUMBER = re.compile(QUALIFIER + r"([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
+SSN = re.compile(QUALIFIER + r"((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
 GIVEN = re.compile(r"\s{0,2}[:=]\s{0,2}([\"']?)")
 VALUE = re.compile(r"([A-Za-z0-9_+/=.-]*[0-9])?[A-Za-z_+/=.-]*")  # the group ends behind the last digit
 KEY_ID = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @functools.lru_cache(maxsize=1)
@@ -68,9 +71,8 @@ def _automaton():
                 found.add_word(form, (kind, len(form)))
     for c in ("AKIA", "ASIA"):
         found.add_word(c, ("key", 4))
-    for c in COUNTRIES:
-        for k in range(10):
-            found.add_word(f"{c}{k}", ("iban", 3))
+    for a, b, k in itertools.product(CAPITALS, CAPITALS, "0123456789"):
+        found.add_word(f"{a}{b}{k}", ("iban", 3))
     found.make_automaton()
     return found
 

@@ -387,6 +387,14 @@ def test_a_secret_within_a_value_that_is_none():
     assert [text[a:b] for k, a, b in pii.find(text) if k == "secret"] == ["abc12345", "abc123456", "longer_than_8"]
 
 
+def test_accounts_in_any_case_and_of_any_country():
+    for cue, number in (("Account Number: ", "12345678"), ("Account No. ", "12345678"), ("ACCOUNT NO ", "12345678"), ("account id=", "12345678"), ("social security number: ", "123-45-6789"), ("SSN no. ", "123-45-6789"), ("Social Security Number ", "123-45-6789")):
+        assert [s for s in pii.find(f"my {cue}{number}, x") if s[0] == "account"] == [("account", 3 + len(cue), 3 + len(cue) + len(number))], cue
+    for iban in ("CZ65 0800 0000 1920 0014 5399", "GR16 0110 1250 0000 0001 2300 695", "HU42 1177 3016 1111 1018 0000 0000", "RO49 AAAA 1B31 0075 9384 0000", "TR33 0006 1005 1978 6457 8413 26", "DE89370400440532013000"):
+        assert [s for s in pii.find(f"to {iban}, x") if s[0] == "account"] == [("account", 3, 3 + len(iban))], iban
+    assert not [s for s in pii.find("CZ65 0800 0000 1920 0014 5398, account number of it, SSN no 000-45-6789") if s[0] == "account"]
+
+
 def test_pii_rows(spark):
     rows = [(1, "mail é a.b@c.de or 10.0.0.1", ""), (2, None, ""), (2, "", ""), (None, "+1 (555) 555-5555", "")]
     got = {r["spans"]: r for r in pii.detect(frame(spark, rows)).collect()}
