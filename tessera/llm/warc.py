@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer and its reader.
 
-Page ids are cut into ranges of about ``shard`` bytes of payload: a histogram of at most BUCKETS rows gives the
-cuts, so they follow from the data alone, whatever the cluster. A range is sorted by one task, which writes gzip members
+Page ids are cut into ranges of about ``shard`` bytes of payload: a histogram, made finer where a bucket
+holds more, gives the cuts, so they follow from the data alone, whatever the cluster. Rows of one page_id
+(or of none) stay in one range. A range is sorted by one task, which writes gzip members
 into files that roll at a compressed size, and its number is in their names. A file is written under a temporary name and renamed when it is whole; the
 manifest, a table with one row a file, is written last, and only files that it names count. A task that is
 run again writes the same bytes. Headers are made anew from the row: record ids are UUIDs of page_id and
@@ -18,12 +19,12 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import commit, filesystem, prepare, scratch, stored
@@ -138,17 +139,51 @@ def _writer(folder: str, roll: int, level: int, date: str):
     return write
 
 
-def ranges(pages: DataFrame, shard: int) -> tuple[Column, DataFrame, int]:
-    """The bucket of a page_id, the range of each bucket in a frame of at most BUCKETS rows, and the number of ranges."""
+def _shift(first: int, last: int, most: int) -> int:
+    """The fewest low bits to drop so that first to last fall into at most ``most`` buckets."""
+    return next(k for k in range(64) if (last >> k) - (first >> k) < most)
+
+
+def ranges(pages: DataFrame, shard: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """What adds to rows the column range, by their page_id, and the number of ranges.
+
+    A bucket holds the ids that agree but for some low bits, so nothing overflows. Buckets above ``shard``
+    bytes are cut again between their own smallest and largest id, until they are below or hold one id; a
+    pass makes at most 2 * BUCKETS rows. Beyond BUCKETS ranges, ranges grow instead of their number.
+    """
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     low, high = (0, 0) if low is None else (low, high)
-    bucket = F.coalesce(F.floor((F.col("page_id") - low) / ((high - low) // BUCKETS + 1)), F.lit(0)).cast("int")
-    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 500
-    held = pages.groupBy(bucket.alias("bucket")).agg(F.sum(size).alias("bytes")).toPandas().sort_values("bucket")
-    before = held["bytes"].cumsum() - held["bytes"]
-    held["range"] = pd.factorize(before // shard)[0].astype("int32") if len(held) else pd.Series([], dtype="int32")
-    found = pages.sparkSession.createDataFrame(held[["bucket", "range"]].astype("int32"), "bucket int, range int")
-    return bucket, found, int(held["range"].max()) + 1 if len(held) else 1
+    root, levels = _shift(low, high, BUCKETS), []
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"own": F.coalesce(F.col("page_id").cast("long"), F.lit(low)), "node": F.lit(0), "shift": F.lit(root), "range": F.lit(-1)})
+        for held in levels:
+            cuts = held[["parent", "bucket", "to", "cut", "part"]]
+            found = rows.sparkSession.createDataFrame(cuts, "parent int, bucket long, to int, cut int, part int")
+            bucket = F.when(F.col("shift") >= 0, F.expr("shiftright(own, shift)"))
+            rows = rows.withColumn("at", bucket).join(F.broadcast(found), (F.col("node") == F.col("parent")) & (F.col("at") == F.col("bucket")), "left")
+            rows = rows.withColumns({"node": F.coalesce("to", "node"), "shift": F.coalesce("cut", F.lit(-1)), "range": F.coalesce("part", "range")}).drop("at", *cuts.columns)
+        return rows
+
+    sizes = pages.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).cast("long").alias("size"))
+    made, most = 0, None
+    while not levels or (levels[-1]["cut"] >= 0).any():
+        open_ = placed(sizes).filter("shift >= 0")
+        totals = open_.groupBy(F.col("node").alias("parent"), F.expr("shiftright(own, shift)").alias("bucket"))
+        held = totals.agg(F.sum("size").alias("bytes"), F.min("own").alias("first"), F.max("own").alias("last")).toPandas().sort_values("first")
+        most = most or max(shard, -(-int(held["bytes"].sum()) // BUCKETS))
+        wide = (held["bytes"] > most) & (held["first"] < held["last"])
+        each = max(2, BUCKETS // max(1, int(wide.sum())))
+        held["cut"] = [_shift(int(a), int(z), each) if w else -1 for a, z, w in zip(held["first"], held["last"], wide)]
+        held["to"], held["part"] = range(made + 1, made + len(held) + 1), -1
+        made += len(held)
+        levels.append(held)
+    leaves = pd.concat([x[x["cut"] < 0] for x in levels]).sort_values("first")
+    before = leaves["bytes"].cumsum() - leaves["bytes"]
+    parts = pd.Series(pd.factorize(before // most)[0], index=leaves["to"].to_numpy()) if len(leaves) else pd.Series([], dtype=int)
+    for held in levels:
+        held["part"] = held["to"].map(parts).fillna(-1).astype("int32")
+    return placed, int(parts.max()) + 1 if len(parts) else 1
 
 
 def write(pages: DataFrame, folder: str, roll: int = 64 << 20, shard: int = 32 << 20, least: int = 100, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -167,9 +202,8 @@ def write(pages: DataFrame, folder: str, roll: int = 64 << 20, shard: int = 32 <
     none = F.lit(None)
     rows = listed.select("page_id", "digest", F.lit(False).alias("is_page"), "target", none.cast("string").alias("url"), none.cast("string").alias("html"))
     rows = rows.unionByName(pages.select("page_id", digest.alias("digest"), F.lit(True).alias("is_page"), none.cast("long").alias("target"), "url", "html"))
-    bucket, found, n = ranges(pages, shard)
-    numbered = rows.withColumn("bucket", bucket).join(F.broadcast(found), "bucket").drop("bucket")
-    laid = numbered.repartition(n, "range").sortWithinPartitions("range", "page_id", "digest", "is_page", "url")
+    placed, n = ranges(pages, shard)
+    laid = placed(rows).select(*rows.columns, "range").repartition(n, "range").sortWithinPartitions("range", "page_id", "digest", "is_page", "url")
     return stored(laid.mapInArrow(_writer(folder, roll, level, date), MANIFEST), "warc-manifest")
 
 

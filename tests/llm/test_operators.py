@@ -443,6 +443,18 @@ def test_archive_files_do_not_depend_on_partitions(spark, tmp_path):
             last = page
 
 
+@pytest.mark.parametrize("far", [[1 << 60], [-(1 << 63), (1 << 63) - 1], [(1 << 60) + 5 * i for i in range(300)] + [-(1 << 63)]])
+def test_ranges_stay_small_beside_far_ids(spark, tmp_path, far):
+    ids = [*range(1000, 1600), *far]
+    pages = spark.createDataFrame([(i, f"u{i}", "text " * (i % 90)) for i in ids] + [(None, "x", "y")], "page_id long, url string, html string")
+    manifest = warc.write(pages, str(tmp_path / "w"), shard=20_000)
+    files = manifest.orderBy("path").collect()  # one a range
+    held = [sum(len("text " * (i % 90)) + 500 for i in ids if (m["first_page_id"] is None or i >= m["first_page_id"]) and i <= m["last_page_id"]) for m in files]
+    assert max(held) < 2 * 20_000 and sum(m["records"] for m in files) == len(ids) + 1
+    assert all(a["last_page_id"] < b["first_page_id"] for a, b in zip(files, files[1:]))
+    assert sorted(r["page_id"] for r in warc.read(spark, manifest).filter("page_id is not null").collect()) == sorted(ids)
+
+
 def test_broken_records_are_found():
     record = warc.render(1, "http://x", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False, "2024-01-01T00:00:00Z")
     warc.parse(record)
