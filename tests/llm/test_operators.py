@@ -613,6 +613,22 @@ def test_mix_in_plain_python(spark):
         assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 8 * 6
 
 
+def test_windows_of_a_large_source_stay_small(spark):
+    rows = [(i, "w " * (1 + i * 7 % 40), "a" if i % 2 else None) for i in range(9000)]
+    docs = frame(spark, rows)
+    narrow = docs.select("doc_id", "source", mixing.words(docs["text"]).alias("size"))
+    assert [mixing.shape(n, 4, 2) for n in (8, 9, 4500)] == [(2, 0), (2, 1), (2, 10)]
+    dealt = mixing.deal(narrow, [("a", 2, 10, 0, 0.0), (None, 2, 7, 0, 0.0)], 7)
+    got = mixing.ends(dealt, 10).collect()
+    assert len(got) == len(rows) and max(collections.Counter((x["source"], x["shard"], x["sub"]) for x in got).values()) <= 48
+    held = collections.Counter()
+    for x in sorted(got, key=lambda x: x["_key"]):
+        held[x["source"], x["shard"]] += x["size"]
+        assert x["_end"] == held[x["source"], x["shard"]]
+    few, one = (mixing.mix(docs, shard_docs=k, max_shards=2).collect() for k in (4, 4499))
+    assert sorted(map(repr, few)) == sorted(map(repr, one))
+
+
 # Stages.
 
 
