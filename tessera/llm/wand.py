@@ -5,10 +5,10 @@ term so that documents of one language or kind lie together, and for each term i
 frequencies, the number of documents and their mean length are summed over all shards, so scores are those
 of one index. Queries are the documents whose doc_id is divisible by ``every``, whole texts, packed in files.
 
-A shard answers groups of queries. Postings of rare terms are scored at once. Of frequent terms the largest
-impact in each block of documents is known; with the best rare score in the block it bounds what a query can
-find there, and blocks are taken by falling bounds, each only for the queries whose k-th best so far it can
-beat. What is taken is one product of matrices; what then comes near a query's k-th best is scored again in
+A shard answers groups of queries. Of every term the largest impact in each block of documents is known; the
+sum bounds what a query can find there, and blocks are taken by falling bounds, each only for the queries whose
+k-th best so far it can beat. There are no pivots: what is taken is one product of matrices for frequent terms
+and the postings of rare terms in the block; what then comes near a query's k-th best is scored again in
 whole numbers, so ties are exact and shards merge without rounding (a task takes ``task_shards`` shards in turn,
 and what one gives prunes the next): a term adds
 round(1e6 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length))).
@@ -148,6 +148,12 @@ def _packer(folder: str, size: int):
     return freed(run)
 
 
+def _spread(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges that have a start and a size, and which of the ranges each belongs to."""
+    row = np.repeat(np.arange(len(starts)), size)
+    return starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), row
+
+
 class Shard:
     """The index of a shard, with the impacts that the corpus's mean length gives."""
 
@@ -166,6 +172,12 @@ class Shard:
         pick, row = self.postings(often)
         self.matrix[self.doc[pick] // BLOCK, row, self.doc[pick] % BLOCK] = self.impact[pick]
         self.maxima = self.matrix.max(2).T if len(often) else np.zeros((0, self.blocks), np.float32)
+        # Postings of a term in a block: where they begin, the block, and their largest impact.
+        owner, block = np.repeat(np.arange(len(df)), df), self.doc // BLOCK
+        self.runs = np.append(np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(block) != 0))[: len(block)]), len(block))
+        self.run_block = block[self.runs[:-1]].astype(np.min_scalar_type(self.blocks))
+        self.run_best = np.maximum.reduceat(self.impact, self.runs[:-1]) if len(block) else self.impact
+        self.term_runs = np.append(0, np.cumsum(np.bincount(owner[self.runs[:-1]], minlength=len(df))))
         # Terms of each document, for scores in whole numbers.
         order = np.argsort(self.doc, kind="stable")
         self.forward_term, self.forward_tf = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], tf[order]
@@ -177,9 +189,7 @@ class Shard:
 
     def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all postings of some terms, and which of the terms each belongs to."""
-        size = self.df[terms]
-        row = np.repeat(np.arange(len(terms)), size)
-        return self.starts[terms][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), row
+        return _spread(self.starts[terms], self.df[terms])
 
     def answer(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, found: list[list[tuple[int, int]]] | None = None) -> tuple[list[list[tuple[int, int]]], int]:
         """The k best (-score, doc) of each of a group of queries, and how many blocks were taken for how many queries.
@@ -197,10 +207,16 @@ class Shard:
         often = dense >= 0
         query = np.zeros((n, self.matrix.shape[1]), np.float32)
         query[row[often], dense[often]] = weight[often]
-        pick, which = self.postings(local[~often])
-        scores = np.bincount(row[~often][which] * width + self.doc[pick], weights=weight[~often][which] * self.impact[pick], minlength=n * width).astype(np.float32).reshape(n, width)
+        # Runs of rare terms, by block.
+        rare = local[~often]
+        runs, which = _spread(self.term_runs[rare], self.term_runs[rare + 1] - self.term_runs[rare])
+        by = np.argsort(self.run_block[runs], kind="stable")
+        runs, run_row, run_weight = runs[by], row[~often][which[by]], weight[~often][which[by]]
+        run_block = self.run_block[runs].astype(np.int64)
+        ends_of = np.append(0, np.cumsum(np.bincount(run_block, minlength=self.blocks)))
+        scores = np.zeros((n, width), np.float32)
         own = self._own(ids)
-        bound = query @ self.maxima + scores.reshape(n, self.blocks, BLOCK).max(2)
+        bound = query @ self.maxima + np.bincount(run_row * self.blocks + run_block, weights=run_weight * self.run_best[runs], minlength=n * self.blocks).reshape(n, self.blocks)
         slack = 1e-5 * bound.max(1) + 1e-3
         best = np.zeros((n, k), np.float32)  # documents that share no term are no result
         for i, f in enumerate(found):
@@ -211,7 +227,13 @@ class Shard:
             rows = rows[bound[rows, b] > 0]
             if not len(rows):
                 continue
-            tile = scores[rows, b * BLOCK : (b + 1) * BLOCK] + query[rows] @ self.matrix[b]
+            place = np.full(n, -1)
+            place[rows] = np.arange(len(rows))
+            mine = slice(ends_of[b], ends_of[b + 1])
+            mine = np.arange(mine.start, mine.stop)[place[run_row[mine]] >= 0]
+            pick, which = _spread(self.runs[runs[mine]], self.runs[runs[mine] + 1] - self.runs[runs[mine]])
+            tile = np.bincount(place[run_row[mine]][which] * BLOCK + self.doc[pick] % BLOCK, weights=run_weight[mine][which] * self.impact[pick], minlength=len(rows) * BLOCK)
+            tile = tile.astype(np.float32).reshape(-1, BLOCK) + query[rows] @ self.matrix[b]
             for i, r in enumerate(rows):  # a query's own document is no candidate
                 for d in own[r]:
                     if d // BLOCK == b:

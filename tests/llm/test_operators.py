@@ -307,6 +307,23 @@ def test_blocks_are_skipped():
     assert taken <= 4  # of 8 blocks
 
 
+def test_rare_postings_are_skipped():
+    n, fetched = 8192, []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            fetched.append(np.size(at))
+            return np.asarray(self)[at]
+
+    # Documents 0 to 15 hold terms 0 to 7; term 8 has a hundred postings in other blocks.
+    doc = np.concatenate([np.tile(np.arange(16), 8), 256 + 70 * np.arange(100)])
+    df = np.array([16] * 8 + [100])
+    shard = wand.Shard({"doc_ids": np.arange(n), "lengths": np.full(n, 9), "vocabulary": np.arange(9, dtype=np.uint64), "df": df, "posting_doc": doc, "posting_tf": np.ones(len(doc), int)}, 9.0)
+    shard.impact = shard.impact.view(Counted)
+    found, taken = shard.answer(np.array([0]), np.array([0, 9]), np.arange(9, dtype=np.uint64), np.ones(9), 10)
+    assert [d for _, d in found[0]] == list(range(1, 11)) and taken == 1 and sum(fetched) == 16 * 8
+
+
 def test_bm25_edges(spark):
     rows = [(d, t) for d, t, _ in TEXTS if d is not None and d != 7]
     got = wand.search(frame(spark, [(d, t, "") for d, t in rows] + [(None, "quick fox", "")]))
