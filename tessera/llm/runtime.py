@@ -53,7 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and what is read is computed once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(spark: SparkSession, *places: DataFrame | str) -> None:
+    """Remove tables that ``stored`` gave, or scratch folders, which nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for place in places:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place if isinstance(place, str) else place.scratch_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -64,10 +74,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def commit(fs: pafs.FileSystem, temporary: str, final: str) -> None:
-    """Rename a finished file to its final name. Attempts of one task write equal bytes, so either may win."""
-    if fs.get_file_info(final).type != pafs.FileType.NotFound:
-        fs.delete_file(final)
-    fs.move(temporary, final)
+    """Rename a finished file to its final name. Attempts of one task write equal bytes, so a file that is there stays."""
+    if fs.get_file_info(final).type == pafs.FileType.NotFound:
+        fs.move(temporary, final)
+    else:
+        fs.delete_file(temporary)
 
 
 def freed(run: Callable) -> Callable:

@@ -1,23 +1,32 @@
-"""Exact BM25 top-k by sharded inverted indexes with block maxima.
+"""Exact BM25 top-k by sharded inverted indexes and block-max WAND.
 
 Each task indexes the rows that it reads: a shard file holds the documents, in order of their most frequent
-term so that documents of one language or kind lie together, and for each term its postings. Document
-frequencies, the number of documents and their mean length are summed over all shards, so scores are those
-of one index. Queries are the documents whose doc_id is divisible by ``every``, whole texts, packed in files.
-
-A shard answers groups of queries. Of every term the largest impact in each block of documents is known; the
-sum bounds what a query can find there, and blocks are taken by falling bounds, each only for the queries whose
-k-th best so far it can beat. There are no pivots: what is taken is one product of matrices for frequent terms
-and the postings of rare terms in the block; what then comes near a query's k-th best is scored again in
-whole numbers, so ties are exact and shards merge without rounding (a task takes ``task_shards`` shards in turn,
-and what one gives prunes the next): a term adds
-round(1e6 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length))).
+term so that documents of one language or kind lie together, and for each term its postings, sorted by
+document. Document frequencies, the number of documents and their mean length are summed over all shards, so
+scores are those of one index. Queries are the documents whose doc_id is divisible by ``every``, whole texts,
+packed in files.
+
+A query has a cursor in the documents' order and a threshold, its k-th best so far. Postings are cut into
+blocks of ``BLOCK`` documents, and of each term the largest impact in each block is known. The pivot is the
+first block at or after the cursor in which the maxima of the query's terms add up to the threshold; blocks
+before it are skipped. In the pivot block the postings of rare terms are scored first; a document whose score
+so far and the maxima of the frequent terms together miss the threshold is skipped as well, and frequent
+terms are scored for the others, in one product of matrices for all queries that share the pivot. Then the
+cursor moves behind the block. The threshold starts from what other shards gave, and in a task's first shard
+from the block of the largest bound, which is taken before the cursor starts. So this is block-max WAND with
+pivots that are blocks, and documents within them, in place of one posting at a time: queries of hundreds of
+words would spend far more on moving single cursors than on the scores that it saves.
+
+What comes near a query's k-th best is scored again in whole numbers, so ties are exact and shards merge
+without rounding: a term adds round(1e6 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length))).
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,7 @@ from .runtime import commit, filesystem, freed, prepare, scratch, stored, text_b
 from .shingles import words
 
 K1, B, UNIT = 1.2, 0.75, 1e6
-BLOCK, GROUP, DENSE = 256, 256, 2048
+BLOCK, GROUP, DENSE, SELDOM = 256, 256, 2048, 64
 BUILT = "path string, docs long, words long, term long, df long, query_id long, cluster long, terms array<bigint>"
 
 
@@ -134,7 +143,7 @@ def _packer(folder: str, size: int):
             pairs = lists.flatten()
             path = _save(folder, f"queries-{task:06d}-{made:05d}.npz", ids=np.asarray(t["query_id"]), offsets=np.append(0, np.cumsum(np.asarray(lists.value_lengths()))), terms=np.asarray(pairs.field("term")).view(np.uint64), df=np.asarray(pairs.field("df")))
             made, held, count = made + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(t)])], names=["path", "queries"])
 
         for b in found:
             for at in range(0, b.num_rows, size):
@@ -154,16 +163,26 @@ def _spread(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), row
 
 
+@dataclass
+class Work:
+    """Blocks that were taken, postings of rare terms scored in them, and documents scored in full, over all queries."""
+
+    blocks: int = 0
+    postings: int = 0
+    documents: int = 0
+
+
 class Shard:
     """The index of a shard, with the impacts that the corpus's mean length gives."""
 
     def __init__(self, data: dict[str, np.ndarray], mean: float):
         self.doc_ids, lengths, self.vocabulary, df = data["doc_ids"], data["lengths"], data["vocabulary"], data["df"]
         self.n, self.starts = len(self.doc_ids), np.append(0, np.cumsum(df))
-        self.df, self.doc, tf, self.mean, self.lengths = df, data["posting_doc"], data["posting_tf"], mean, lengths
+        self.df, self.doc, tf = df, data["posting_doc"], data["posting_tf"]
+        self.norm = K1 * (1 - B + B * lengths / mean)
         self.impact = self.impacts(tf, self.doc).astype(np.float32)
         self.blocks = max(1, -(-self.n // BLOCK))
-        often = np.flatnonzero(df >= max(2, self.n // 64))
+        often = np.flatnonzero(df >= max(2, self.n // SELDOM))
         often = np.sort(often[np.argsort(-df[often], kind="stable")[:DENSE]])
         self.dense = np.full(len(df), -1, np.int64)
         self.dense[often] = np.arange(len(often))
@@ -179,24 +198,24 @@ class Shard:
         self.run_best = np.maximum.reduceat(self.impact, self.runs[:-1]) if len(block) else self.impact
         self.term_runs = np.append(0, np.cumsum(np.bincount(owner[self.runs[:-1]], minlength=len(df))))
         # Terms of each document, for scores in whole numbers.
-        order = np.argsort(self.doc, kind="stable")
+        order = np.argsort(self.doc.astype(np.min_scalar_type(self.n)), kind="stable")
         self.forward_term, self.forward_tf = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], tf[order]
         self.forward = np.append(0, np.cumsum(np.bincount(self.doc, minlength=self.n)))
 
     def impacts(self, tf: np.ndarray, doc: np.ndarray) -> np.ndarray:
         tf = tf.astype(float)
-        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths[doc] / self.mean))
+        return tf * (K1 + 1) / (tf + self.norm[doc])
 
     def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all postings of some terms, and which of the terms each belongs to."""
         return _spread(self.starts[terms], self.df[terms])
 
-    def answer(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, found: list[list[tuple[int, int]]] | None = None) -> tuple[list[list[tuple[int, int]]], int]:
-        """The k best (-score, doc) of each of a group of queries, and how many blocks were taken for how many queries.
+    def answer(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, found: list[list[tuple[int, int]]] | None = None) -> tuple[list[list[tuple[int, int]]], Work]:
+        """The k best (-score, doc) of each of a group of queries, for any k, and the work that it took.
 
         ``found`` holds what other shards gave: it is merged, and what can't beat it is skipped.
         """
-        found = found or [[] for _ in ids]
+        seeded, found = found is not None, found or [[] for _ in ids]
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
@@ -216,37 +235,65 @@ class Shard:
         ends_of = np.append(0, np.cumsum(np.bincount(run_block, minlength=self.blocks)))
         scores = np.zeros((n, width), np.float32)
         own = self._own(ids)
-        bound = query @ self.maxima + np.bincount(run_row * self.blocks + run_block, weights=run_weight * self.run_best[runs], minlength=n * self.blocks).reshape(n, self.blocks)
+        frequent = query @ self.maxima
+        bound = frequent + np.bincount(run_row * self.blocks + run_block, weights=run_weight * self.run_best[runs], minlength=n * self.blocks).reshape(n, self.blocks)
         slack = 1e-5 * bound.max(1) + 1e-3
         best = np.zeros((n, k), np.float32)  # documents that share no term are no result
         for i, f in enumerate(found):
             best[i, : len(f)] = [-x / UNIT for x, _ in f]
-        taken, count = np.zeros((n, self.blocks), bool), 0
-        for b in np.argsort(-bound.max(0), kind="stable"):
-            rows = np.flatnonzero(bound[:, b] >= best.min(1) - slack)
-            rows = rows[bound[rows, b] > 0]
-            if not len(rows):
-                continue
+        work = Work()
+
+        def take(b: int, rows: np.ndarray) -> None:
+            """Score what can reach the thresholds of some queries in a block."""
             place = np.full(n, -1)
             place[rows] = np.arange(len(rows))
-            mine = slice(ends_of[b], ends_of[b + 1])
-            mine = np.arange(mine.start, mine.stop)[place[run_row[mine]] >= 0]
+            mine = np.arange(ends_of[b], ends_of[b + 1])
+            mine = mine[place[run_row[mine]] >= 0]
             pick, which = _spread(self.runs[runs[mine]], self.runs[runs[mine] + 1] - self.runs[runs[mine]])
             tile = np.bincount(place[run_row[mine]][which] * BLOCK + self.doc[pick] % BLOCK, weights=run_weight[mine][which] * self.impact[pick], minlength=len(rows) * BLOCK)
-            tile = tile.astype(np.float32).reshape(-1, BLOCK) + query[rows] @ self.matrix[b]
-            for i, r in enumerate(rows):  # a query's own document is no candidate
+            tile = tile.astype(np.float32).reshape(-1, BLOCK)
+            # Documents that the frequent terms can still lift to the threshold.
+            open_ = tile + frequent[rows, b, None] >= (best[rows].min(1) - slack[rows])[:, None]
+            open_[:, self.n - b * BLOCK :] = False
+            work.blocks += len(rows)
+            work.postings += len(pick)
+            kept, docs = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(kept):
+                return
+            some = np.flatnonzero(self.maxima[:, b] * query[rows[kept]].any(0))
+            part = self.matrix[b] if len(some) == len(self.maxima) else self.matrix[b][some]
+            part = part if len(docs) == BLOCK else part[:, docs]
+            work.documents += len(kept) * len(docs)
+            sums = np.zeros((len(kept), BLOCK), np.float32)
+            sums[:, docs] = tile[np.ix_(kept, docs)] + query[np.ix_(rows[kept], some)] @ part
+            sums[~open_[kept]] = 0
+            for i, r in enumerate(rows[kept]):  # a query's own document is no candidate
                 for d in own[r]:
                     if d // BLOCK == b:
-                        tile[i, d % BLOCK] = 0
-            scores[rows, b * BLOCK : (b + 1) * BLOCK] = tile
-            best[rows] = np.partition(np.concatenate([best[rows], tile], 1), BLOCK, axis=1)[:, -k:] if k <= BLOCK else best[rows]
-            taken[rows, b] = True
-            count += len(rows)
+                        sums[i, d % BLOCK] = 0
+            rows = rows[kept]
+            scores[rows, b * BLOCK : (b + 1) * BLOCK] = sums
+            best[rows] = np.partition(np.concatenate([best[rows], sums], 1), BLOCK, axis=1)[:, -k:]
+
+        todo = bound > 0
+        if not seeded:
+            first = bound.argmax(1)
+            for b in np.unique(first[todo.any(1)]):
+                take(b, np.flatnonzero((first == b) & todo[:, b]))
+            todo[np.arange(n), first] = False
+        cursor = np.zeros(n, np.int64)
+        while True:
+            reach = todo & (bound >= (best.min(1) - slack)[:, None]) & (np.arange(self.blocks) >= cursor[:, None])
+            pivot = np.where(reach.any(1), reach.argmax(1), self.blocks)
+            b = int(pivot.min()) if n else self.blocks
+            if b == self.blocks:
+                break
+            take(b, np.flatnonzero(pivot == b))
+            cursor[:] = b + 1  # no query has a pivot before b
         whole = np.zeros(len(self.vocabulary))
         ends = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
         for q in range(n):
-            open_ = np.repeat(taken[q], BLOCK)[: self.n]
-            docs = np.flatnonzero(open_ & (scores[q, : self.n] > 0) & (scores[q, : self.n] >= best[q].min() - 2 * slack[q]))
+            docs = np.flatnonzero((scores[q, : self.n] > 0) & (scores[q, : self.n] >= best[q].min() - 2 * slack[q]))
             if not len(docs):
                 continue
             mine = slice(ends[q], ends[q + 1])
@@ -259,7 +306,7 @@ class Shard:
             whole[local[mine]] = 0
             first = np.lexsort((self.doc_ids[docs], -total))[:k]
             found[q] = sorted([*found[q], *zip((-total[first]).tolist(), self.doc_ids[docs[first]].tolist())])[:k]
-        return found, count
+        return found, work
 
     def _own(self, ids: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(self.doc_ids, kind="stable")
@@ -267,32 +314,37 @@ class Shard:
         return [order[x:y] for x, y in zip(a, z)]
 
 
-def _searcher(files: list[str], docs: int, mean: float, k: int, window: int = 16):
-    """Answers of all shards of a task, merged; for ``window`` files of queries at a time."""
+def _searcher(docs: int, mean: float, k: int):
+    """Answers of the shards of a task to some files of queries, merged; the rows pair them."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = sorted(p for b in found for p in b.column(0).to_pylist())
-        for begin in range(0, len(files), window):
-            best: dict = {}
-            for path in paths:
-                shard = Shard(_load(path), mean)
-                for name in files[begin : begin + window]:
-                    q = _load(name)
-                    idf = np.log(1 + (docs - q["df"] + 0.5) / (q["df"] + 0.5))
-                    for low in range(0, len(q["ids"]), GROUP):
-                        at, ids = q["offsets"][low : low + GROUP + 1], q["ids"][low : low + GROUP]
-                        part = slice(at[0], at[-1])
-                        before = best.get((name, low), (None, None))[1]
-                        best[name, low] = ids, shard.answer(ids, at - at[0], q["terms"][part], idf[part], k, before)[0]
-                del shard
-            for ids, lists in best.values():
-                rows = [(q, d, -s) for q, own in zip(ids.tolist(), lists) for s, d in own]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "doc_id", "score"])
+        pairs = sorted(x for b in found for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        best: dict = {}
+        for path, some in itertools.groupby(pairs, key=lambda x: x[0]):
+            shard = Shard(_load(path), mean)
+            for _, name in some:
+                q = _load(name)
+                idf = np.log(1 + (docs - q["df"] + 0.5) / (q["df"] + 0.5))
+                for low in range(0, len(q["ids"]), GROUP):
+                    at, ids = q["offsets"][low : low + GROUP + 1], q["ids"][low : low + GROUP]
+                    part = slice(at[0], at[-1])
+                    before = best.get((name, low), (None, None))[1]
+                    best[name, low] = ids, shard.answer(ids, at - at[0], q["terms"][part], idf[part], k, before)[0]
+            del shard
+        for ids, lists in best.values():
+            rows = [(q, d, -s) for q, own in zip(ids.tolist(), lists) for s, d in own]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "doc_id", "score"])
 
     return freed(run)
 
 
+def _lots(files: DataFrame, size: str, most: int, name: str) -> DataFrame:
+    """Files in order, dealt into lots of about ``most`` of what they hold. A row stands for thousands of documents."""
+    before = F.sum(size).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    return files.select(F.col("path").alias(f"{name}_path"), F.floor(F.coalesce(before, F.lit(0)) / most).cast("int").alias(name))
+
+
 def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 8192, shard_words: int = 1 << 22, query_file: int = 4096, task_shards: int = 4) -> DataFrame:
     """query_id, rank, doc_id and score of the k best documents for each document whose doc_id is divisible by ``every``.
 
@@ -315,13 +367,17 @@ def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 81
     asked = built.filter("query_id is not null").groupBy("query_id").agg(F.min(F.struct("cluster", "terms")).alias("q")).select("query_id", "q.*")
     asked = stored(asked, "queries")
     terms = asked.select("query_id", "cluster", F.explode("terms").alias("term"))
-    wanted = terms.select("term").distinct()
-    df = stored(built.filter("term is not null").select("term", "df").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
+    # Frequencies are summed before they meet the queries' terms, so that the join has one row a term on this side.
+    df = stored(built.filter("term is not null").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
     known = terms.join(df, "term").groupBy("query_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("terms"))
     laid = known.repartitionByRange("cluster", "query_id").sortWithinPartitions("cluster", "query_id").select("query_id", "terms")
-    files = stored(laid.mapInArrow(_packer(scratch(spark, "queries"), query_file), "path string"), "query-files")
-    names = sorted(r["path"] for r in files.collect())  # one name for thousands of queries
-    found = shards.select("path").repartition(-(-n // task_shards)).mapInArrow(_searcher(names, docs, total / docs, k), result)
+    files = stored(laid.mapInArrow(_packer(scratch(spark, "queries"), query_file), "path string, queries long"), "query-files")
+    # A task answers a lot of queries from a lot of shards; lots are numbered from 0, some may be empty.
+    left, right = _lots(shards, "docs", task_shards * shard_docs, "shard"), stored(_lots(files, "queries", query_file, "query"), "query-lots")
+    lots = (right.agg(F.max("query")).first()[0] or 0) + 1
+    pairs = left.withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).join(right, "query").withColumn("task", F.col("shard") * lots + F.col("query"))
+    laid = pairs.repartitionById((docs // (task_shards * shard_docs) + 1) * lots, "task").select("shard_path", "query_path")
+    found = laid.mapInArrow(_searcher(docs, total / docs, k), result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "doc_id", (F.col("score") / UNIT).alias("score"))
