@@ -17,7 +17,8 @@ what a digit expands to. The method adds: url (scheme, user information and host
 country that passes mod 97, numbers after an account cue, social security numbers after theirs; "no", "nr",
 "number" or "id" may follow a cue in any case) and secret (values after
 a password or token cue, access key ids). User information has any length, and so has a value: 8
-characters or more, one of them a digit, bare or between equal quotes.
+characters or more, one of them a digit, bare or between equal quotes. A url's path ends before the marks
+that close a sentence or a bracket.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ RUN = re.compile(r"[0-9.\x20()+-]+")
 CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+([0-9][\x20().0-9-]+)")
-HOST = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=:-]++@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(:[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
+HOST = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=:-]++@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(:[0-9]{1,5})?([/?#][^\s\"'<>]*)?")
+CLOSING = ".,;:!?)]}"
 QUALIFIER = r"(?:\s?(?i:no|nr|number|id))?\.?\s?[:#=]?\s?"
 NUMBER = re.compile(QUALIFIER + r"([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
 SSN = re.compile(QUALIFIER + r"((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
@@ -98,7 +100,7 @@ def _numbers(text: str, start: int, stop: int, out: list) -> None:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             size = sum(map(len, four)) + 3
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (x.lstrip("0") for x in four)):
                 out.append(("ip", place, place + size))
             place += size + 1
     for m in CARD.finditer(text, start, stop):
@@ -146,7 +148,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             begin = _scheme(text, start)
             if begin is not None and begin >= url and (m := HOST.match(text, stop)):
                 url = m.end()
-                out.append(("url", begin, url))
+                out.append(("url", begin, m.start(4) + len(m[4].rstrip(CLOSING)) if m[4] else url))
         elif kind == "iban":
             if start >= account and (start == 0 or not text[start - 1].isalnum()) and (m := IBAN.match(text, start)):
                 whole = m[0].replace(" ", "")
@@ -176,7 +178,7 @@ def joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def _scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +188,14 @@ def _scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = find(text)
             base = [s for s in spans if s[0] in BASE]
             n = [sum(s[0] == k for s in base) for k in BASE]
-            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
-        cols = list(zip(*rows)) or [[]] * 7
-        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
+        cols = list(zip(*rows)) or [[]] * 8
+        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """One row a document: counts and digest of the base spans, all spans, and how many spans the method adds.
+    """One row a document: counts and digest of the base spans, all spans, how many of them the method adds, and their number.
 
     A null or empty text has no spans, so its digest is that of the empty string. Repeated rows give repeated
     rows, an empty table gives none, and columns other than doc_id and text are ignored. No shuffle.
