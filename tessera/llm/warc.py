@@ -1,8 +1,9 @@
 """A deterministic sharded WARC writer and its reader.
 
-Page ids are cut into ranges of about ``shard`` bytes of payload: a histogram, made finer where a bucket
-holds more, gives the cuts, so they follow from the data alone, whatever the cluster. Rows of one page_id
-(or of none) stay in one range. A range is sorted by one task, which writes gzip members
+Page ids are cut into ranges of at most ``shard`` bytes of payload: a histogram, made finer where a bucket
+holds more, gives the cuts, so they follow from the data alone, whatever the cluster. Rows of one page_id,
+and those of none, that hold more are cut by digest; only rows that agree in both stay in one range at any
+size. A range is sorted by one task of its own, which writes gzip members
 into files that roll at a compressed size, and its number is in their names. A file is written under a temporary name and renamed when it is whole; the
 manifest, a table with one row a file, is written last, and only files that it names count. A task that is
 run again writes the same bytes. Headers are made anew from the row: record ids are UUIDs of page_id and
@@ -21,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 from .runtime import commit, filesystem, prepare, scratch, stored
 
 EOL = b"\r\n"
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 IDS = uuid.UUID("6f1c9a52-52c9-4f0b-9d3e-0c6a6d2b7d11")
 # Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+CUTS = {"parent": pa.int32(), "bucket": pa.int64(), "to": pa.int32(), "cut": pa.int32(), "first_range": pa.int32(), "ranges": pa.int32()}
 MANIFEST = "path string, first_page_id long, last_page_id long, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -144,53 +147,83 @@ def _shift(first: int, last: int, most: int) -> int:
     return next(k for k in range(64) if (last >> k) - (first >> k) < most)
 
 
+def assigned(leaves: pd.DataFrame, most: int, first: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """The range of each leaf, in order of page ids, over how many ranges it goes, and the first range after all.
+
+    Leaves share ranges of at most ``most`` bytes; one that holds more has one page_id and ranges of its own.
+    """
+    part, split, held = np.zeros(len(leaves), np.int32), np.ones(len(leaves), np.int32), 0
+    for k, n in enumerate(leaves["bytes"].tolist()):
+        if n > most:
+            first += held > 0
+            part[k], split[k], held = first, -(-n // most), 0
+            first += int(split[k])
+            continue
+        if held + n > most:
+            first, held = first + 1, 0
+        part[k], held = first, held + n
+    return part, split, first + (held > 0)
+
+
 def ranges(pages: DataFrame, shard: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
-    """What adds to rows the column range, by their page_id, and the number of ranges.
+    """What adds to rows the column range, by page_id and digest, and the number of ranges.
 
     A bucket holds the ids that agree but for some low bits, so nothing overflows. Buckets above ``shard``
-    bytes are cut again between their own smallest and largest id, until they are below or hold one id; a
-    pass makes at most 2 * BUCKETS rows. Beyond BUCKETS ranges, ranges grow instead of their number.
+    bytes are cut again between their own smallest and largest id, until they are below or hold one id. There
+    are about eight buckets for ``shard`` bytes, at most BUCKETS, and a pass makes at most twice as many rows.
+    Beyond BUCKETS * ``shard`` bytes (32 TB at 32 MB) ranges grow instead of their number.
     """
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    root, levels = _shift(low, high, BUCKETS), []
+    size = (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).cast("long")
+    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), size.alias("size"))
+    low, high, total, none = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
+    most = max(shard, -(-(total or 0) // BUCKETS))
+    count = min(BUCKETS, max(64, -(-8 * (total or 0) // most)))
+    root, levels = 0 if low is None else _shift(low, high, count), []
 
     def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({"own": F.coalesce(F.col("page_id").cast("long"), F.lit(low)), "node": F.lit(0), "shift": F.lit(root), "range": F.lit(-1)})
+        rows = rows.withColumns({"node": F.lit(0), "shift": F.lit(root), "part": F.lit(0), "split": F.lit(1)})
         for held in levels:
-            cuts = held[["parent", "bucket", "to", "cut", "part"]]
-            found = rows.sparkSession.createDataFrame(cuts, "parent int, bucket long, to int, cut int, part int")
-            bucket = F.when(F.col("shift") >= 0, F.expr("shiftright(own, shift)"))
-            rows = rows.withColumn("at", bucket).join(F.broadcast(found), (F.col("node") == F.col("parent")) & (F.col("at") == F.col("bucket")), "left")
-            rows = rows.withColumns({"node": F.coalesce("to", "node"), "shift": F.coalesce("cut", F.lit(-1)), "range": F.coalesce("part", "range")}).drop("at", *cuts.columns)
+            found = rows.sparkSession.createDataFrame(pa.table({k: pa.array(held[k].to_numpy(), t) for k, t in CUTS.items()}))
+            bucket = F.when(F.col("shift") >= 0, F.expr("shiftright(page_id, shift)"))
+            rows = rows.withColumn("at", bucket).join(F.broadcast(found), (F.col("node") == F.col("parent")) & (F.col("at") == F.col("bucket")), "left")  # at most 2 * BUCKETS rows
+            rows = rows.withColumns({"node": F.coalesce("to", "node"), "shift": F.coalesce("cut", F.lit(-1)), "part": F.coalesce("first_range", "part"), "split": F.coalesce("ranges", "split")}).drop("at", *CUTS)
         return rows
 
-    sizes = pages.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).cast("long").alias("size"))
-    made, most = 0, None
-    while not levels or (levels[-1]["cut"] >= 0).any():
-        open_ = placed(sizes).filter("shift >= 0")
-        totals = open_.groupBy(F.col("node").alias("parent"), F.expr("shiftright(own, shift)").alias("bucket"))
-        held = totals.agg(F.sum("size").alias("bytes"), F.min("own").alias("first"), F.max("own").alias("last")).toPandas().sort_values("first")
-        most = most or max(shard, -(-int(held["bytes"].sum()) // BUCKETS))
+    made, open_ = 0, low is not None
+    while open_:
+        rows = placed(sizes.filter("page_id is not null")).filter("shift >= 0")
+        totals = rows.groupBy(F.col("node").alias("parent"), F.expr("shiftright(page_id, shift)").alias("bucket"))
+        held = totals.agg(F.sum("size").alias("bytes"), F.min("page_id").alias("first"), F.max("page_id").alias("last")).toPandas().sort_values("first")
         wide = (held["bytes"] > most) & (held["first"] < held["last"])
-        each = max(2, BUCKETS // max(1, int(wide.sum())))
+        each = max(2, count // max(1, int(wide.sum())))
         held["cut"] = [_shift(int(a), int(z), each) if w else -1 for a, z, w in zip(held["first"], held["last"], wide)]
-        held["to"], held["part"] = range(made + 1, made + len(held) + 1), -1
+        held["to"], held["first_range"], held["ranges"] = range(made + 1, made + len(held) + 1), 0, 1
         made += len(held)
         levels.append(held)
-    leaves = pd.concat([x[x["cut"] < 0] for x in levels]).sort_values("first")
-    before = leaves["bytes"].cumsum() - leaves["bytes"]
-    parts = pd.Series(pd.factorize(before // most)[0], index=leaves["to"].to_numpy()) if len(leaves) else pd.Series([], dtype=int)
-    for held in levels:
-        held["part"] = held["to"].map(parts).fillna(-1).astype("int32")
-    return placed, int(parts.max()) + 1 if len(parts) else 1
+        open_ = bool(wide.any())
+    over = -(-(none or 0) // most)  # ranges of the rows without page_id, which come first
+    n = over
+    if levels:
+        leaves = pd.concat([x[x["cut"] < 0] for x in levels]).sort_values("first")
+        part, split, n = assigned(leaves, most, over)
+        for held in levels:
+            held["first_range"] = held["to"].map(dict(zip(leaves["to"], part))).fillna(0)
+            held["ranges"] = held["to"].map(dict(zip(leaves["to"], split))).fillna(1)
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        lead = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+        split = F.when(F.col("page_id").isNull(), F.lit(max(1, over))).otherwise(F.col("split"))
+        within = F.expr("shiftright(_lead * _spread, 32)")
+        return placed(rows).withColumns({"_lead": lead, "_spread": split.cast("long")}).withColumn("range", (F.col("part") + within).cast("int"))
+
+    return ranged, max(1, n)
 
 
 def write(pages: DataFrame, folder: str, roll: int = 64 << 20, shard: int = 32 << 20, least: int = 100, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) as WARC files and return the manifest.
 
     A null html is an empty payload; a null url becomes urn:page:<id>. Payloads under ``least`` bytes are
-    always responses. Repeated rows of one page_id and payload: the first is the response, the others
+    always responses. A page_id may be any integer of 64 bits. Repeated rows of one page_id and payload: the first is the response, the others
     revisit it. Pages with a null page_id revisit the smallest page_id of their payload; if there is none,
     one of them is the response and the others' target is null. An empty table gives an empty manifest.
     """
@@ -202,8 +235,8 @@ def write(pages: DataFrame, folder: str, roll: int = 64 << 20, shard: int = 32 <
     none = F.lit(None)
     rows = listed.select("page_id", "digest", F.lit(False).alias("is_page"), "target", none.cast("string").alias("url"), none.cast("string").alias("html"))
     rows = rows.unionByName(pages.select("page_id", digest.alias("digest"), F.lit(True).alias("is_page"), none.cast("long").alias("target"), "url", "html"))
-    placed, n = ranges(pages, shard)
-    laid = placed(rows).select(*rows.columns, "range").repartition(n, "range").sortWithinPartitions("range", "page_id", "digest", "is_page", "url")
+    ranged, n = ranges(pages, shard)
+    laid = ranged(rows).select(*rows.columns, "range").repartitionById(n, "range").sortWithinPartitions("range", "page_id", "digest", "is_page", "url")
     return stored(laid.mapInArrow(_writer(folder, roll, level, date), MANIFEST), "warc-manifest")
 
 
