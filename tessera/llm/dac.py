@@ -5,16 +5,20 @@ level 1 the second chunk of those that have one, and so on; a bitmap a level tel
 directory with the count of set bits before every 512 tells where. So token i is read by one chunk, one bit
 and one rank a level, without decoding what comes before it.
 
-A file: magic, length of a JSON header, the header (sections with their types, places and lengths), the
-sections, and a CRC-32 of all before it. Documents lie whole in a file, in ascending doc_id order over files.
+A file: magic, length and CRC-32 of a JSON header, the header (sections with their types, places and lengths),
+the sections, and a CRC-32 of all before it. Documents lie whole in a file, in ascending doc_id order over
+files. A file is opened by its header alone; a token is read from where it lies, by a few ranges of bytes a
+level, and ``verify`` reads all of a file, a megabyte at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,52 +62,88 @@ def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, bits: int = 8) ->
         sections[name] = [a.dtype.str, len(body), len(a)]
         body += a.tobytes()
     head = json.dumps({"bits": bits, "docs": len(doc_ids), "tokens": len(ids), "sections": sections}).encode()
-    data = MAGIC + struct.pack("<I", len(head)) + head + bytes(body)
+    data = MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + bytes(body)
     return data + struct.pack("<I", zlib.crc32(data))
 
 
 class File:
-    """Random access to the tokens in the bytes of a file."""
+    """Random access to the tokens of a file. ``read(start, stop)`` gives its bytes; all but the header are read on demand."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self._read, self.size = read, size
+        start = read(0, 16)
+        if len(start) < 16 or start[:8] != MAGIC:
+            raise ValueError("not a file of token ids")
+        n, crc = struct.unpack_from("<II", start, 8)
+        head = read(16, 16 + n)
+        if zlib.crc32(head) != crc:
+            raise ValueError("the header of a file of token ids is broken")
+        self.head, self._base = json.loads(head), 16 + n
+        self.bits, self.tokens, self.docs = self.head["bits"], self.head["tokens"], self.head["docs"]
+        self.sections = {k: (np.dtype(t), place, count) for k, (t, place, count) in self.head["sections"].items()}
+        self.levels = sum(x.startswith("chunks") for x in self.sections)
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC or zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
-            raise ValueError("not a whole file of token ids")
-        n = struct.unpack_from("<I", data, 8)[0]
-        self.head = json.loads(data[12 : 12 + n])
-        self.bits, self.tokens = self.head["bits"], self.head["tokens"]
-        at = {k: np.frombuffer(data, t, count, 12 + n + place) for k, (t, place, count) in self.head["sections"].items()}
-        self.offsets = at["offsets"]
-        self.doc_ids = [None if no else int(d) for d, no in zip(at["doc_id"], at["no_id"])]
-        self.levels = [(at[f"chunks{k}"], at[f"marks{k}"], at[f"ranks{k}"]) for k in range(sum(x.startswith("chunks") for x in at))]
+    @staticmethod
+    def of(data: bytes) -> File:
+        return File(lambda a, z: data[a:z], len(data))
 
     @staticmethod
-    def _rank(marks: np.ndarray, ranks: np.ndarray, i: int) -> int:
-        """Set bits before bit i."""
+    @contextlib.contextmanager
+    def open(path: str) -> Iterator[File]:
+        fs, place = filesystem(path)
+        with fs.open_input_file(place) as f:
+            yield File(lambda a, z: f.read_at(z - a, a), f.size())
+
+    def verify(self, step: int = 1 << 20) -> None:
+        """Raise ValueError unless the whole file has its checksum."""
+        crc = 0
+        for a in range(0, self.size - 4, step):
+            crc = zlib.crc32(self._read(a, min(a + step, self.size - 4)), crc)
+        if crc != struct.unpack("<I", self._read(self.size - 4, self.size))[0]:
+            raise ValueError("not a whole file of token ids")
+
+    def part(self, name: str, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Some numbers of a section."""
+        kind, place, count = self.sections[name]
+        stop = count if stop is None else min(stop, count)
+        at = self._base + place
+        return np.frombuffer(self._read(at + start * kind.itemsize, at + stop * kind.itemsize), kind)
+
+    @functools.cached_property
+    def offsets(self) -> np.ndarray:
+        return self.part("offsets")
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return [None if no else int(d) for d, no in zip(self.part("doc_id"), self.part("no_id"))]
+
+    def _rank(self, level: int, i: int) -> int:
+        """Set bits before bit i of a level's bitmap."""
         block, byte = i // SPAN, i // 8
-        found = int(ranks[block]) + int(ONES[marks[block * (SPAN // 8) : byte]].sum(dtype=np.int64))
-        return found + (bin(int(marks[byte]) & ((1 << (i % 8)) - 1)).count("1") if i % 8 else 0)
+        marks = self.part(f"marks{level}", block * (SPAN // 8), byte + 1)
+        found = int(self.part(f"ranks{level}", block, block + 1)[0]) + int(ONES[marks[: byte - block * (SPAN // 8)]].sum(dtype=np.int64))
+        return found + (bin(int(marks[-1]) & ((1 << (i % 8)) - 1)).count("1") if i % 8 else 0)
 
     def token(self, i: int) -> int:
         """Token i of the file."""
         out, shift = 0, 0
-        for chunks, marks, ranks in self.levels:
-            out |= int(chunks[i]) << shift
-            if not marks[i // 8] >> (i % 8) & 1:
+        for k in range(self.levels):
+            out |= int(self.part(f"chunks{k}", i, i + 1)[0]) << shift
+            if not self.part(f"marks{k}", i // 8, i // 8 + 1)[0] >> (i % 8) & 1:
                 break
-            i, shift = self._rank(marks, ranks, i), shift + self.bits
+            i, shift = self._rank(k, i), shift + self.bits
         return out
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Tokens start to stop of the file."""
         out, where, shift = np.zeros(stop - start, np.uint32), slice(None), 0
-        for chunks, marks, ranks in self.levels:
-            part = chunks[start:stop].astype(np.uint32) << np.uint32(shift)
-            out[where] |= part
+        for k in range(self.levels):
+            out[where] |= self.part(f"chunks{k}", start, stop).astype(np.uint32) << np.uint32(shift)
             low = start // 8
-            on = np.unpackbits(marks[low : (stop + 7) // 8], bitorder="little")[start - 8 * low : stop - 8 * low].astype(bool)
+            on = np.unpackbits(self.part(f"marks{k}", low, (stop + 7) // 8), bitorder="little")[start - 8 * low : stop - 8 * low].astype(bool)
             if not on.any():
                 break
-            start = self._rank(marks, ranks, start)
+            start = self._rank(k, start)
             stop, shift = start + int(on.sum()), shift + self.bits
             where = np.flatnonzero(on) if isinstance(where, slice) else where[on]
         return out
@@ -111,6 +151,14 @@ class File:
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1]))
 
+    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of documents of about ``most`` tokens: the first one, their offsets and their tokens."""
+        at, offsets = 0, self.offsets
+        while at < self.docs:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield at, offsets[at : end + 1] - offsets[at], self.slice(int(offsets[at]), int(offsets[end]))
+            at = end
+
 
 def _writer(folder: str, tokenizer: str, end: int | None, roll: int, bits: int):
     def write(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +208,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 0, rol
 def _reader(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in found:
         for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            fs, place = filesystem(path)
-            with fs.open_input_stream(place) as f:
-                file = File(f.read())
-            crc = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(len(file.doc_ids))]
-            starts = file.offsets[:-1] + base
-            yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(starts), pa.array(np.diff(file.offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            with File.open(path) as file:
+                file.verify()
+                doc_ids = file.doc_ids
+                for first, offsets, ids in file.documents():
+                    ids = ids.astype("<u4")
+                    crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                    starts = offsets[:-1] + file.offsets[first] + base
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first : first + len(crc)], pa.int64()), pa.array(starts), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:

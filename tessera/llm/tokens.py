@@ -3,7 +3,9 @@
 A byte-level BPE with the usual split pattern never makes a token that reaches from a visible character into
 white space that follows it, and what follows is split as it would be at the start of a text. So a text is
 cut there into pieces such as " word"; pyarrow finds the distinct pieces of a group of batches, the library
-encodes each of them once, and the ids of a text are those of its pieces, joined.
+encodes each of them once, and the ids of a text are those of its pieces, joined. Added tokens without white
+space, such as special ones, lie whole in a piece, and what follows them starts anew in both ways; with others
+texts are not cut.
 """
 
 from __future__ import annotations
@@ -25,15 +27,20 @@ SOME = 8192  # pieces that the library encodes at once
 
 @functools.lru_cache(maxsize=2)
 def load(path: str):
-    """The tokenizer in a file; the strings of special tokens in a text are ordinary text."""
+    """The tokenizer in a file, with the library's own settings: a special token's string in a text gives its id."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def divisible(path: str) -> bool:
+    """Whether a cut at white space leaves all added tokens whole: none holds white space or looks at what is beside it."""
+    added = load(path).get_added_tokens_decoder().values()
+    return not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added)
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -91,7 +98,7 @@ class Encoder:
         laid, coded = [], []
         for texts in columns:
             data, offsets = text_buffers(texts)
-            begin = cuts(data, offsets)
+            begin = cuts(data, offsets) if divisible(self.path) else offsets[:-1][offsets[:-1] < offsets[1:]]
             bounds = np.append(begin, len(data)).astype(np.int64)
             pieces = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
             coded.append(pc.dictionary_encode(pieces))
