@@ -1,12 +1,14 @@
 """Nearest neighbours by shifted space-filling curves, widened until they are exact.
 
 Vectors are projected to a few dimensions, shifted and ordered along several Hilbert curves; each curve has
-its own projection and shift. Rows are range-partitioned by (curve, key, vec_id), so equal vectors spread
-too, and each query is compared with the ``window`` rows before and after it on every curve. Merged and
-reranked, these give each query its k-th best cosine so far.
+its own projection and shift. What is ordered are codes, a byte a dimension, range-partitioned by (curve, key,
+vec_id), so equal vectors spread too. Each query meets the ``window`` rows before and after it on every curve:
+within its task as the rows pass by, and across the edges of tasks by the rows' places on the whole curve, so
+windows don't depend on partitions. The best by their codes on all curves are merged, and reranked by the
+original vectors, which gives each query its k-th best cosine so far.
 
 Rows of the first curve are also packed, in its order, into blocks with a centre and a largest angle to it.
-A block is opened for a query only if a vector within that angle could reach the query's k-th best. Where
+The windows are widened to a block only if a vector within that angle could reach the query's k-th best. Where
 neighbours are near, as in clustered vectors, this opens few blocks; vectors spread evenly over all
 directions have no near neighbours, and then it opens most of them, in block products of matrices. Either
 way nothing that belongs in a result is missed.
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from .runtime import freed, prepare, stored
 
 KEYED = "curve int, key long, vec_id long, vec binary"
-FOUND = "query_id long, vec_id long, score double, block long, ids binary, vecs binary, centre binary, cosine double"
+NEAR = "query_id long, vec_id long, near float, curve int, part int, at long, code binary, size long"
+BLOCK = "block long, ids binary, vecs binary, centre binary, cosine double"
 SLACK = 1e-9
+SALTS = 16
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -94,80 +98,174 @@ def best(query: int, vec: np.ndarray, ids: np.ndarray, rows: np.ndarray, near: n
     return out
 
 
-def _keys(curves: int, dims: int, bits: int, seed: int, kind: str):
+def codes(points: np.ndarray) -> list[bytes]:
+    """Unit vectors as a 32-bit scale and a byte a dimension."""
+    scale = np.abs(points).max(1) / 127
+    whole = np.rint(points / scale[:, None]).astype(np.int8)
+    return [s.tobytes() + w.tobytes() for s, w in zip(scale.astype("<f4"), whole)]
+
+
+def decoded(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and the scales of some codes."""
+    data = np.frombuffer(b"".join(packed), np.int8).reshape(len(packed), -1)
+    return data[:, 4:], np.ascontiguousarray(data[:, :4]).view("<f4").ravel()
+
+
+def places(points: np.ndarray, curve: int, dims: int, bits: int, seed: int) -> np.ndarray:
+    """The keys of unit vectors on a curve."""
+    r = np.random.default_rng([seed, curve])
+    turn, shift = r.normal(size=(points.shape[1], dims)), r.uniform(0, 1, dims)
+    # A random direction meets most unit vectors within 3 deviations.
+    z = points @ turn / 6 + 0.5 + shift / (1 << bits)
+    return hilbert(np.clip(z * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
+
+
+def _keys(curves: int, dims: int, bits: int, seed: int, kind: str, whole: bool):
+    """Rows once for each curve, as codes, or as they are if ``whole``."""
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             ids, col = np.asarray(b.column(0)), b.column(1)
             if not len(ids):
                 continue
             rows = np.asarray(col.flatten()).reshape(len(ids), -1).astype(kind)
-            r, points = np.random.default_rng(seed), unit(rows)
+            points = unit(rows)
+            vecs = pa.array([x.tobytes() for x in rows] if whole else codes(points), pa.binary())
             for c in range(curves):
-                turn = r.normal(size=(rows.shape[1], dims)) / np.sqrt(rows.shape[1])
-                shift = r.uniform(0, 1, dims)
-                # A random direction meets most unit vectors within 3 deviations.
-                z = points @ turn * np.sqrt(rows.shape[1]) / 6 + 0.5 + shift / (1 << bits)
-                key = hilbert(np.clip(z * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(key), pa.array(ids), pa.array([x.tobytes() for x in rows], pa.binary())], names=["curve", "key", "vec_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(places(points, c, dims, bits, seed)), pa.array(ids), vecs], names=["curve", "key", "vec_id", "vec"])
 
     return freed(run)
 
 
-def _unpack(b: pa.RecordBatch, k: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column(k).to_pylist()), kind).reshape(b.num_rows, -1)
+def _nearest(query: int, own: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> list[tuple]:
+    """The k best of some rows for a query, other than itself, by their codes."""
+    near = np.where(own, -np.inf, near)
+    if len(near) > k:
+        near[near < np.partition(near, -k)[-k]] = -np.inf
+    at = np.flatnonzero(near > -np.inf)
+    return [(query, int(ids[i]), float(near[i])) for i in at[np.lexsort((ids[at], -near[at]))][:k]]
 
 
-def _windows(k: int, window: int, block: int, every: int, kind: str):
-    """Candidates of the queries from windows on each curve, and the blocks of curve 0."""
+def _windows(k: int, window: int, every: int):
+    """For rows in order of the curves: the best of each query's window, as far as the task reaches, and its rows at its edges.
+
+    Rows are of three kinds: pairs (query_id, vec_id, near); rows within ``window`` of the first or last of a
+    curve in this task, with their place in it; and the number of rows of each curve.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        curve, ids, rows, done = None, np.empty(0, np.int64), None, 0
+        part = TaskContext.get().partitionId()
+        curve, ids, whole, scale, done, passed = None, np.empty(0, np.int64), None, None, 0, 0
+        names = [x.split()[0] for x in NEAR.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
 
         def search(stop: int) -> list[tuple]:
-            units, out = unit(rows), []
+            out = []
             for at in done + np.flatnonzero(ids[done:stop] % every == 0):
                 a, z = max(0, at - window), at + window + 1
-                out += best(int(ids[at]), rows[at], ids[a:z], rows[a:z], units[a:z] @ units[at], k, -2.0)
+                near = (whole[a:z].astype(np.float32) @ whole[at].astype(np.float32)) * scale[a:z] * scale[at]
+                out += [(*x, *(None,) * 5) for x in _nearest(int(ids[at]), ids[a:z] == ids[at], ids[a:z], near, k)]
             return out
 
-        def blocks(some: np.ndarray, vecs: np.ndarray) -> list[tuple]:
-            nonlocal made
-            out = []
-            for at in range(0, len(some), block):
-                v, u = vecs[at : at + block], unit(vecs[at : at + block])
-                centre = u.mean(0)
-                norm = np.linalg.norm(centre)
-                centre = centre / norm if norm > 1e-12 else u[0]
-                out.append((None, None, None, (task << 32) + made, some[at : at + block].tobytes(), v.tobytes(), centre.tobytes(), float((u @ centre).min())))
-                made += 1
-            return out
+        def edge(a: int, z: int) -> list[tuple]:
+            """Rows of the buffer as edge rows; ``passed`` rows of the curve went before the buffer."""
+            return [(None, int(ids[i]), None, int(curve), part, passed + i, scale[i].tobytes() + whole[i].tobytes(), None) for i in range(a, z)]
+
+        def finish() -> list[tuple]:
+            """The rest of a curve; its head was given when it came, its last rows are given now."""
+            size = passed + len(ids)
+            return search(len(ids)) + edge(max(window - passed, len(ids) - window, 0), len(ids)) + [(None, None, None, int(curve), part, None, None, size)]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-            rows = [r if len(r) == 8 else (*r, None, None, None, None, None) for r in rows]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in FOUND.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for b in found:
-            own, new_ids, new = np.asarray(b.column(0)), np.asarray(b.column(1)), _unpack(b, 2, kind)
+            own, new_ids = np.asarray(b.column(0)), np.asarray(b.column(1))
+            new, new_scale = decoded(b.column(2).to_pylist())
             for c in np.unique(own):
-                some, vecs = new_ids[own == c], new[own == c]
-                out = blocks(some, vecs) if c == 0 else []
+                some = own == c
+                out = []
                 if c != curve:
-                    if rows is not None:
-                        out += search(len(ids))
-                    curve, ids, rows, done = c, some, vecs, 0
+                    out = finish() if curve is not None else []
+                    curve, ids, whole, scale, done, passed, before = c, new_ids[some], new[some], new_scale[some], 0, 0, 0
                 else:
-                    ids, rows = np.append(ids, some), np.append(rows, vecs, axis=0)
+                    before = passed + len(ids)
+                    ids, whole, scale = np.append(ids, new_ids[some]), np.append(whole, new[some], axis=0), np.append(scale, new_scale[some])
+                if before < window:  # the head of a curve in this task
+                    out += edge(before - passed, min(window - passed, len(ids)))
                 if len(ids) - window > done:
                     out += search(len(ids) - window)
                     done = len(ids) - window
                     drop = max(0, done - window)
-                    ids, rows, done = ids[drop:], rows[drop:], done - drop
+                    ids, whole, scale, done, passed = ids[drop:], whole[drop:], scale[drop:], done - drop, passed + drop
                 if out:
                     yield batch(out)
-        if rows is not None and (out := search(len(ids))):
-            yield batch(out)
+        if curve is not None:
+            yield batch(finish())
+
+    return freed(run)
+
+
+def _coded(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How near pairs of codes are."""
+    for b in found:
+        if b.num_rows:
+            (a, s), (c, t) = decoded(b.column(2).to_pylist()), decoded(b.column(3).to_pylist())
+            near = (a.astype(np.float32) * c.astype(np.float32)).sum(1) * s * t
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float32())], names=["query_id", "vec_id", "near"])
+
+
+def _scored(kind: str):
+    """Cosines of pairs of vectors."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            if b.num_rows:
+                x, y = (np.asarray(b.column(k).flatten()).reshape(b.num_rows, -1).astype(kind) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosines(x, y))], names=["query_id", "vec_id", "score"])
+
+    return freed(run)
+
+
+def windowed(rows: DataFrame, kind: str, k: int, every: int, curves: int, dims: int, bits: int, window: int, seed: int) -> DataFrame:
+    """query_id, vec_id and score of the best in each query's windows, by codes 4 * k of them, scored by the vectors."""
+    keyed = rows.mapInArrow(_keys(curves, dims, bits, seed, kind, False), KEYED)
+    laid = keyed.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").select("curve", "vec_id", "vec")
+    found = stored(laid.mapInArrow(_windows(4 * k, window, every), NEAR), "curve-windows")
+    inside = found.filter("query_id is not null").select("query_id", "vec_id", "near")
+    # Across edges of tasks: a row's place on the whole curve tells its cell, and windows reach into the next ones.
+    order = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    starts = found.filter("size is not null").select("curve", "part", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("start"))
+    edges = found.filter("code is not null").join(starts, ["curve", "part"]).select("curve", "part", "vec_id", "code", (F.col("start") + F.col("at")).alias("rank"))
+    edges = stored(edges.withColumn("cell", F.floor(F.col("rank") / window)), "curve-edges")
+    asked = edges.filter(F.col("vec_id") % every == 0).withColumn("cell", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])))
+    near = (F.col("a.part") != F.col("b.part")) & (F.abs(F.col("a.rank") - F.col("b.rank")) <= window) & (F.col("a.vec_id") != F.col("b.vec_id"))
+    pairs = asked.alias("a").join(edges.alias("b"), (F.col("a.curve") == F.col("b.curve")) & (F.col("a.cell") == F.col("b.cell")) & near)
+    pairs = pairs.select(F.col("a.vec_id").alias("query_id"), "b.vec_id", F.col("a.code").alias("x"), F.col("b.code").alias("y"))
+    across = pairs.mapInArrow(_coded, "query_id long, vec_id long, near float")
+    one = inside.unionByName(across).groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    few = stored(one.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 4 * k).select("query_id", "vec_id"), "curve-candidates")
+    both = few.join(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(rows.select("vec_id", F.col("embedding").alias("y")), "vec_id")
+    return both.select("query_id", "vec_id", "x", "y").mapInArrow(_scored(kind), "query_id long, vec_id long, score double")
+
+
+def _blocks(block: int, kind: str):
+    """Blocks of rows that come in a curve's order."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for b in found:
+            for low in range(0, b.num_rows, block):
+                part = b.slice(low, block)
+                ids, vecs = np.asarray(part.column(0)), np.frombuffer(b"".join(part.column(1).to_pylist()), kind).reshape(part.num_rows, -1)
+                u = unit(vecs)
+                centre = u.mean(0)
+                norm = np.linalg.norm(centre)
+                centre = centre / norm if norm > 1e-12 else u[0]
+                row = [[(task << 32) + made], [ids.astype(np.int64).tobytes()], [vecs.tobytes()], [centre.tobytes()], [float((u @ centre).min())]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=[x.split()[0] for x in BLOCK.split(", ")])
+                made += 1
 
     return freed(run)
 
@@ -236,27 +334,27 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 4, dims: int = 6, bits: int = 6, window: int = 128, block: int = 1024, widen: bool = True, seed: int = 17) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 8, dims: int = 8, bits: int = 6, window: int = 256, block: int = 1024, widen: bool = True, seed: int = 17) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of each row whose vec_id is divisible by ``every``.
 
     Vectors that are null, zero or of another length than most, or that hold null or non-finite numbers,
     take no part, nor do rows without vec_id. Rows of one vec_id count as one, by their best score, and are
     never their own neighbours. Ties go to the smaller vec_id. With fewer than k candidates all are
     returned; an empty table gives no rows. Other columns are ignored. ``widen=False`` stops after the
-    windows: approximate, and linear in the rows.
+    windows: approximate, linear in the rows, and the same whatever the partitions, unless rows are repeated.
     """
-    prepare(vectors.sparkSession)
+    spark = vectors.sparkSession
+    prepare(spark)
     rows, kind = usable(vectors)
-    keyed = rows.mapInArrow(_keys(curves, dims, bits, seed, kind), KEYED)
-    laid = keyed.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").drop("key")
-    found = stored(laid.mapInArrow(_windows(k, window, block, every, kind), FOUND), "curve-windows")
-    first = found.filter("query_id is not null").select("query_id", "vec_id", "score")
+    first = stored(_top(windowed(rows, kind, k, every, curves, dims, bits, window, seed), k).select("query_id", "rank", "vec_id", "score"), "curve-first")
     if not widen:
-        return _top(first, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    blocks = found.filter("block is not null")
-    kth = _top(first, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-2.0).alias("least"))
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_keys(1, dims, bits, seed, kind), KEYED)
-    queries = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"), "key")
+        return first.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    ordered = lambda some: some.mapInArrow(_keys(1, dims, bits, seed, kind, True), KEYED)
+    packed = ordered(rows).repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").select("vec_id", "vec")
+    blocks = stored(packed.mapInArrow(_blocks(block, kind), BLOCK), "curve-blocks")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-2.0).alias("least"))
+    queries = ordered(rows.filter(F.col("vec_id") % every == 0)).join(kth, F.col("vec_id") == F.col("query_id"), "left")
+    queries = queries.select("vec_id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"), "key")
     chunked = stored(queries.repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").drop("key").mapInArrow(_chunks(1024, kind), "chunk long, query_ids binary, queries binary, least binary"), "query-chunks")
     # Summaries of blocks, 1024 in a row, meet each chunk once: rows are numbered by a hash of the block.
     per = max(1, -(-blocks.count() // 1024))
@@ -264,9 +362,13 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 4, dim
     summary = packed.groupBy("group").applyInArrow(_summary, "group int, blocks binary, centres binary, cosines binary")
     spread = chunked.select("chunk", "queries", "least", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("group"))
     pairs = spread.join(summary, "group").select("chunk", "queries", "least", "blocks", "centres", "cosines").mapInArrow(_bounds(kind), "chunk long, block long")
-    opened = pairs.join(blocks.select("block", "ids", "vecs"), "block").join(chunked, "chunk").select("query_ids", "queries", "least", "ids", "vecs")
+    # A chunk goes to as many keys as keep about 64 blocks each, so that no task has all that it opens.
+    salts = per * SALTS
+    salted = chunked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    opened = pairs.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(blocks.select("block", "ids", "vecs"), "block")
+    opened = opened.join(salted, ["chunk", "salt"]).select("query_ids", "queries", "least", "ids", "vecs")
     more = opened.mapInArrow(_opened(k, kind), "query_id long, vec_id long, score double")
-    return _top(first.unionByName(more), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return _top(first.drop("rank").unionByName(more), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def _summary(found: pa.Table) -> pa.Table:
