@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import discard, stored
 
 
 def _ordered(a, b) -> list:
@@ -18,10 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     Every edge runs from a larger child to a smaller parent. In a round each child keeps its smallest parent,
     hands its other parents to that one, and then skips to its parent's parent. Only children are grouped, so
     a parent of very many children is a skewed join key and never a group. Rounds end when parents are roots;
-    paths halve in each. An edge from a node to itself, or with a null end, is no edge.
+    paths halve in each. An edge from a node to itself, or with a null end, is no edge. A round's tables are
+    removed when the next one's edges are written.
     """
+    spark = edges.sparkSession
     own = edges.select(*_ordered(F.col("a"), F.col("b"))).filter("child > parent").distinct()
-    own = stored(own, "edges")
+    own = held = stored(own, "edges")
     while True:
         least = stored(own.groupBy("child").agg(F.min("parent").alias("least")), "parents")
         kept = own.join(least, "child")
@@ -30,6 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = stored(star.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("over")), "parents")
         jumped = star.join(up, "parent", "left").select("child", F.coalesce("over", "parent").alias("parent"), F.col("over").isNotNull().alias("_moved"))
         own = stored(jumped, "edges")
+        discard(spark, held, least, star, up)
+        held = own
         ends = own.agg(F.coalesce(F.max("_moved"), F.lit(False)), F.count("*"), F.count_distinct("child")).first()
         own = own.drop("_moved")
         if not ends[0] and ends[1] == ends[2]:

@@ -20,7 +20,7 @@ Equal sets are joined before, by a 128-bit fingerprint, and stand as one with a
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .components import components
-from .runtime import commit, filesystem, freed, prepare, scratch, stored
+from .runtime import commit, discard, filesystem, freed, prepare, scratch, stored
 from .shingles import mix
 
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 17, 4096
@@ -117,16 +117,52 @@ def nodes(keys: list[bytes | None]) -> list[int | None]:
     return [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
 
 
-def _prints(width: int):
+PRINTS = "doc_id long, n_shingles long, print binary, node long, sampled array<bigint>"
+
+
+def _prints(width: int, percent: int):
+    """Sizes and fingerprints of all sets, and the signatures of one set in a slice, from which _signed's rows are cut."""
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, flat, offsets in _slices(found, 1, width):
-            key = prints(flat, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(key, pa.binary()), pa.array(nodes(key), pa.int64())], names=["doc_id", "n_shingles", "print", "node"])
+            key, sizes = prints(flat, offsets), np.diff(offsets)
+            sampled: list = [None] * len(sizes)
+            some = np.flatnonzero(sizes)[:1]
+            for k in some.tolist():
+                sampled[k] = signatures(flat[offsets[k] : offsets[k + 1]], np.array([0, sizes[k]]), percent)[0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(key, pa.binary()), pa.array(nodes(key), pa.int64()), pa.array(sampled, pa.list_(pa.int64()))], names=[x.split()[0] for x in PRINTS.split(", ")])
 
     return freed(run)
 
 
-def _signed(width: int, percent: int):
+def cuts(printed: DataFrame, rows_of_task: int = 1 << 20, most: int = 1 << 18) -> np.ndarray:
+    """Where to cut the order of (sig, node) for tasks of about equal rows, as pairs.
+
+    They come from the sampled sets, about 256 rows for a task and ``most`` in all, and only balance the tasks:
+    equal signatures may lie on both sides of a cut, and any cuts give the same groups.
+    """
+    spark = printed.sparkSession
+    docs, some, rows = printed.agg(F.count("*"), F.count("sampled"), F.sum(F.when(F.col("sampled").isNotNull(), F.size("sampled")))).first()
+    if not rows:
+        return np.empty((0, 2), np.int64)
+    tasks = int(min(100_000, max(2 * spark.sparkContext.defaultParallelism, rows / some * docs // rows_of_task)))
+    listed = printed.filter("sampled is not null").select(F.explode("sampled").alias("sig"), "node")
+    found = listed.sample(min(1.0, min(most, 256 * tasks) / rows), seed=1).toArrow()
+    found = np.stack([np.asarray(found[k]) for k in range(2)], 1)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    return found[np.arange(1, tasks) * len(found) // tasks] if len(found) else found
+
+
+def task_of(sig: np.ndarray, node: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """How many cuts lie at or before each row."""
+    low, high = np.searchsorted(cut[:, 0], sig, side="left"), np.searchsorted(cut[:, 0], sig, side="right")
+    out = low.copy()
+    for k in np.flatnonzero(low < high).tolist():  # rows of a signature at which there is a cut
+        out[k] += np.searchsorted(cut[low[k] : high[k], 1], node[k], side="right")
+    return out.astype(np.int32)
+
+
+def _signed(width: int, percent: int, cut: np.ndarray):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, flat, offsets in _slices(found, 0, width):
             own = np.array([n or 0 for n in nodes(prints(flat, offsets))], np.int64)
@@ -136,7 +172,8 @@ def _signed(width: int, percent: int):
             pick = np.zeros(len(sizes), bool)
             pick[once] = True
             sig, at = signatures(flat[np.repeat(pick, sizes)], np.append(0, np.cumsum(sizes[once])), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(own[once], np.diff(at)))], names=["sig", "node"])
+            sig, node = sig.view(np.int64), np.repeat(own[once], np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(task_of(sig, node, cut))], names=["sig", "node", "task"])
 
     return freed(run)
 
@@ -178,7 +215,7 @@ def _firsts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BLOCK = "family long, block long, low long, high long, path string, at long, sets long, size long, a long, b long, links long"
-BITS = 4096
+BITS, MOST_BITS = 4096, 1 << 16  # of a set's bitmap: eight a token of the largest set in the block, within these
 
 
 class Block:
@@ -186,35 +223,40 @@ class Block:
 
     def __init__(self, docs: np.ndarray, weights: np.ndarray, sizes: np.ndarray, marks: np.ndarray, tokens):
         self.docs, self.weights, self.sizes, self.marks, self._tokens = docs, weights, sizes, marks, tokens
-        self.matrix = np.unpackbits(marks, axis=1).astype(np.float32)
-        self.counts = self.matrix.sum(1)
-        self.union = self.matrix.max(0)
+        self.bits = 8 * marks.shape[1]
 
     @staticmethod
     def of(docs: list[int], weights: list[int], sets: list[np.ndarray]) -> Block:
         sizes, tokens = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
-        bits = np.zeros((len(docs), BITS), bool)
-        bits[np.repeat(np.arange(len(docs)), sizes), (mix(tokens + np.uint64(99)) >> np.uint64(20)) % np.uint64(BITS)] = True
+        n = min(MOST_BITS, max(BITS, 1 << int(8 * sizes.max() - 1).bit_length()))
+        bits = np.zeros((len(docs), n), bool)
+        bits[np.repeat(np.arange(len(docs)), sizes), (mix(tokens + np.uint64(99)) >> np.uint64(20)) % np.uint64(n)] = True
         return Block(np.array(docs, np.int64), np.array(weights, np.int64), sizes, np.packbits(bits, axis=1), tokens)
 
     def pack(self) -> bytes:
-        return b"".join(x.tobytes() for x in (self.docs, self.weights, self.sizes, self.marks, self.tokens))
+        return b"".join(x.tobytes() for x in (np.array([self.bits]), self.docs, self.weights, self.sizes, self.marks, self.tokens))
 
     @staticmethod
     def load(path: str, at: int, sets: int, size: int) -> Block:
         fs, place = filesystem(path)
-        head = sets * (24 + BITS // 8)
 
         def read(start: int, stop: int) -> bytes:
             with fs.open_input_file(place) as f:
-                f.seek(at + start)
-                return f.read(stop - start)
+                return f.read_at(stop - start, at + start)
 
-        data = read(0, head)
+        bits = int(np.frombuffer(read(0, 8), np.int64)[0])
+        head = 8 + sets * (24 + bits // 8)
+        data = read(8, head)
         numbers = np.frombuffer(data, np.int64, 3 * sets).reshape(3, sets)
         marks = np.frombuffer(data, np.uint8, offset=24 * sets).reshape(sets, -1)
         return Block(*numbers, marks, lambda: np.frombuffer(read(head, size), np.uint64))
 
+    @functools.lru_cache(maxsize=2)
+    def marked(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bitmaps, folded to so many bits, as a matrix, the number of bits in each, and their union."""
+        whole = np.unpackbits(self.marks, axis=1).reshape(len(self.docs), -1, bits).max(1).astype(np.float32)
+        return whole, whole.sum(1), whole.max(0)
+
     @property
     def tokens(self) -> np.ndarray:
         if callable(self._tokens):
@@ -233,17 +275,20 @@ class Block:
 def overlaps(a: Block, b: Block, percent: int) -> np.ndarray | None:
     """Which sets of a are linked to which of b; None if the bounds open nothing."""
 
-    def reach(x: Block, y: Block) -> np.ndarray:
+    bits = min(a.bits, b.bits)
+    (am, ac, au), (bm, bc, bu) = a.marked(bits), b.marked(bits)
+
+    def reach(x: Block, marks: np.ndarray, counts: np.ndarray, y: Block, union: np.ndarray) -> np.ndarray:
         """Which sets of x may be linked to a member of y, by what they have outside its union."""
-        most = x.sizes - (x.counts - x.matrix @ y.union)
+        most = x.sizes - (counts - marks @ union)
         return (100 + percent) * most >= percent * (x.sizes + y.sizes.min())
 
-    rows, cols = np.flatnonzero(reach(a, b)), np.flatnonzero(reach(b, a))
+    rows, cols = np.flatnonzero(reach(a, am, ac, b, bu)), np.flatnonzero(reach(b, bm, bc, a, au))
     if not len(rows) or not len(cols):
         return None
-    both = a.matrix[rows] @ b.matrix[cols].T
+    both = am[rows] @ bm[cols].T
     sizes = a.sizes[rows][:, None] + b.sizes[cols][None, :]
-    most = np.minimum((a.sizes - a.counts)[rows][:, None], (b.sizes - b.counts)[cols][None, :]) + both
+    most = np.minimum((a.sizes - ac)[rows][:, None], (b.sizes - bc)[cols][None, :]) + both
     open_ = (100 + percent) * most >= percent * sizes
     rows, cols = rows[open_.any(1)], cols[open_.any(0)]
     if not len(rows):
@@ -359,20 +404,25 @@ def _across(percent: int, kept: int = 4):
     return freed(run)
 
 
-WORDS = 1 << 17
+FEWEST, MOST = 1 << 10, 1 << 20  # words of a bitmap
+
 
+def bits(rows: DataFrame, column: str) -> tuple[DataFrame, Callable[[str], F.Column]]:
+    """A bitmap of hashes of a column's values, and what tells of a column whether it may be among them: certainly if it is.
 
-def bits(rows: DataFrame, column: str) -> DataFrame:
-    """A bitmap of hashes of a column's values in at most WORDS rows of 64 bits, whatever the number of values."""
+    It has 16 bits a row, in rows of 64 bits, and at most MOST of them (16 MB), so it may be broadcast at any
+    size; with far more than ten million values it is full, tells nothing, and costs a shuffle, not a result.
+    """
+    n = min(MOST, max(FEWEST, 1 << (max(1, rows.count()) // 4).bit_length()))
     h = F.xxhash64(column)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
-    return stored(rows.groupBy(F.pmod(h, F.lit(WORDS)).alias("word")).agg(F.bit_or(one).alias("bits")), "bitmap")
+    made = stored(rows.groupBy(F.pmod(h, F.lit(n)).alias("word")).agg(F.bit_or(one).alias("bits")), "bitmap")
 
+    def among(name: str) -> F.Column:
+        h = F.xxhash64(name)
+        return (F.pmod(h, F.lit(n)) == F.col("word")) & (F.call_function("shiftright", F.col("bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(1) == 1)
 
-def among(column: str) -> F.Column:
-    """Whether a value may be in a bitmap: certainly if it is."""
-    h = F.xxhash64(column)
-    return (F.pmod(h, F.lit(WORDS)) == F.col("word")) & (F.call_function("shiftright", F.col("bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(1) == 1)
+    return made, among
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -382,31 +432,40 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     to each other; rows of one doc_id are one node. A row without doc_id is linked with nothing and has no
     component_id. An empty table gives no rows. Columns other than doc_id and text are ignored.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    printed = stored(texts.mapInArrow(_prints(width), "doc_id long, n_shingles long, print binary, node long"), "prints")
+    printed = stored(texts.mapInArrow(_prints(width, percent), PRINTS), "prints")
+    cut = cuts(printed)
+    printed = printed.drop("sampled")
     known = printed.filter("doc_id is not null and print is not null")
     firsts = stored(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.min("node").alias("node")), "firsts")
     real = texts.filter("doc_id is not null")
 
     # Groups of similar sets.
-    rows = real.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
-    found = stored(rows.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_firsts, "sig long, a long, b long"), "segment-pairs")
+    rows = real.select("text").mapInArrow(_signed(width, percent, cut), "sig long, node long, task int")
+    laid = rows.repartitionById(len(cut) + 1, "task").select("sig", "node").sortWithinPartitions("sig", "node")
+    found = stored(laid.mapInArrow(_firsts, "sig long, a long, b long"), "segment-pairs")
     ends = found.filter("sig is not null")
-    across = ends.join(stored(ends.groupBy("sig").agg(F.min("a").alias("least")), "segment-ends"), "sig").select("a", F.col("least").alias("b"))
-    family = stored(components(found.filter("sig is null").select("a", "b").unionByName(across)), "families")
+    least = stored(ends.groupBy("sig").agg(F.min("a").alias("least")), "segment-ends")
+    across = ends.join(least, "sig").select("a", F.col("least").alias("b"))
+    family = components(found.filter("sig is null").select("a", "b").unionByName(across))
+    discard(spark, found, least)
 
     # Blocks of a group, of one text for each distinct set. A bitmap of fixed size keeps most other texts out of the shuffle.
     members = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
     single = firsts.join(members, "node").select(F.col("component").alias("family"), F.col("first").alias("doc"), "weight", "print")
-    single = stored(single, "group-members")
+    grouped = stored(single, "group-members")
     sized = printed.select(F.col("doc_id").alias("doc"), "print", "n_shingles").distinct()
-    single = stored(single.join(sized, ["doc", "print"]), "group-members")
-    near = real.join(F.broadcast(bits(single, "doc")), among("doc_id"), "left_semi")
+    single = stored(grouped.join(sized, ["doc", "print"]), "group-members")
+    bitmap, among = bits(single, "doc")
+    near = real.join(F.broadcast(bitmap), among("doc_id"), "left_semi")  # at most 16 MB
     chosen = single.hint("merge").join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
-    spread = max(1, docs.sparkSession.sparkContext.defaultParallelism * 16)
+    spread = max(1, spark.sparkContext.defaultParallelism * 16)
     laid = chosen.repartitionByRange(spread, "family", "n_shingles", "doc").sortWithinPartitions("family", "n_shingles", "doc", "print").drop("n_shingles")
-    blocks = stored(laid.mapInArrow(_blocks(scratch(docs.sparkSession, "block-files"), width, percent), BLOCK), "blocks")
+    folder = scratch(spark, "block-files")
+    blocks = stored(laid.mapInArrow(_blocks(folder, width, percent), BLOCK), "blocks")
+    discard(spark, grouped, single, bitmap)
 
     # Pairs of blocks of a group whose sizes fit.
     place = ["path", "at", "sets", "size"]
@@ -418,11 +477,13 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     pairs = pairs.repartitionByRange(spread, "x", "y").sortWithinPartitions("x", "y").drop("x", "y")
     across = pairs.mapInArrow(_across(percent), LINKS)
     links = stored(blocks.filter("a is not null").select("a", "b", "links").unionByName(across), "links")
+    discard(spark, blocks, listed, folder)
 
     # Rows of one doc_id with different sets are one node.
     twice = known.groupBy("doc_id").agg(F.count_distinct("print").alias("n")).filter("n > 1").select("doc_id")
     same = known.join(twice, "doc_id").join(firsts, "print").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links.filter("b is not null").select("a", "b").unionByName(same))
     counts = stored(links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links")), "link-counts")
+    discard(spark, links)
     rows = printed.drop("node").join(firsts.drop("node"), "print", "left").join(found, F.col("first") == F.col("node"), "left").join(counts, F.col("first") == F.col("a"), "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"), F.when(F.col("first").isNull(), 0).otherwise(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
