@@ -5,8 +5,8 @@ has a learned vector, each filter is learned over a chunk, and the largest answe
 chunks goes through one hidden layer into one probability. The largest answers are kept as running maxima,
 so texts of any length are scored whole in bounded memory.
 
-Training is by Adam on a bounded sample of labelled rows, ``per_label`` of each label and at most
-``most_bytes`` long, chosen by a hash of doc_id among rows whose crc32(doc_id) mod 5 is not 0.
+Training is by Adam on a bounded sample of labelled rows, ``per_label`` of each label, at most ``most_bytes``
+long and ``total_bytes`` together, chosen by a hash of doc_id among rows whose crc32(doc_id) mod 5 is not 0.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import freed, prepare, text_buffers
@@ -119,19 +119,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int, seed: int = 3) -> DataFrame:
-    """The labelled rows to train on: quality and text, at most ``per_label`` of each label."""
+def sample(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int, total_bytes: int, seed: int = 3) -> DataFrame:
+    """The labelled rows to train on: quality and text, at most ``per_label`` and half of ``total_bytes`` of each label."""
     rows = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     order = [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id")]
     short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
     chosen = [rows.filter(F.col("quality") == k).distinct().orderBy(*order).limit(per_label) for k in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_label rows
-    return short.join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_label rows, as what follows
+    sizes = short.select("doc_id", F.octet_length("text").alias("size")).join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.max("size").alias("size"))
+    held = F.sum("size").over(Window.partitionBy("quality").orderBy(*order))
+    kept = F.broadcast(sizes.withColumn("held", held).filter(F.col("held") <= total_bytes // 2).select("doc_id", "quality"))
+    return short.join(kept, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_bytes: int = 65_536, **options) -> Network:
-    """A network fitted to labels.quality; with no labelled rows, or of one label only, one that answers by its bias."""
-    rows = sample(docs, labels, per_label, most_bytes).collect()
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_bytes: int = 65_536, total_bytes: int = 64 << 20, **options) -> Network:
+    """A network fitted to labels.quality; with no labelled rows, or of one label only, one that answers by its bias.
+
+    ``total_bytes`` bounds the text that reaches the driver, ``most_bytes`` that of one document.
+    """
+    rows = sample(docs, labels, per_label, most_bytes, total_bytes).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     net = Network()
     if len({r["quality"] for r in rows}) == 2:
@@ -168,7 +174,11 @@ def score(docs: DataFrame, net: Network, at_least: float = 0.3) -> DataFrame:
 
 
 def keep(docs: DataFrame, net: Network, at_least: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that score ``at_least``."""
+    """The documents, with all their columns, that score ``at_least``.
+
+    A null text is scored as an empty one. Repeated rows get one score, so they stay or go together; a score of
+    exactly ``at_least`` stays; an empty table gives no rows.
+    """
     from pyspark.sql.types import DoubleType, StructType
 
     prepare(docs.sparkSession)
