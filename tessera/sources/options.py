@@ -5,6 +5,7 @@ from __future__ import annotations
 CODECS = {"none": "none", "deflate": "gzip", "gzip": "gzip", "snappy": "snappy"}  # Parquet's gzip is DEFLATE
 EXTENSIONS = {".deflate": "deflate", ".gz": "gzip", ".snappy": "snappy"}
 MIN_BUFFER, MAX_BUFFER, BUFFER = 4 << 10, 512 << 10, 256 << 10
+FILE_BUFFER = 256 << 10
 STRIPE_ROWS = 10_000
 
 
@@ -14,7 +15,7 @@ def index_columns(index: str | list | tuple | None) -> list[str]:
     names = [n.strip() for n in names if n and n.strip()]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
-        raise ValueError(f"Index columns are not unique: {', '.join(twice)}")
+        raise ValueError(f"An index names a column once; found again: {', '.join(twice)}")
     return names
 
 
@@ -38,6 +39,11 @@ def buffer_size(n: int) -> int:
     return 1 << (min(max(int(n), MIN_BUFFER), MAX_BUFFER) - 1).bit_length()
 
 
+def file_buffer_size(n: int | None) -> int:
+    """Bytes that a file stream buffers: more than 256 KiB only in whole pages of 4 KiB, else 256 KiB."""
+    return int(n) if n and n > FILE_BUFFER and n % 4096 == 0 else FILE_BUFFER
+
+
 def properties(found: dict | None) -> dict[str, str]:
     for k, v in (found or {}).items():
         if not isinstance(k, str) or not isinstance(v, str):

@@ -12,13 +12,13 @@ def check(schema: T.StructType, index: list[str], partition_by: list[str], stric
     """Raise ValueError unless the columns can be written with this index."""
     data = [f for f in schema.fields if f.name not in partition_by]
     if not data:
-        raise ValueError("A table needs at least one data column")
+        raise ValueError("All columns are partition columns; a table needs another one")
     missing = [c for c in index if c not in {f.name for f in data}]
     if missing:
-        raise ValueError(f'Field "{missing[0]}" does not exist')
+        raise ValueError(f"There is no data column {missing[0]} to index")
     for f in data:
         if not isinstance(f.dataType, INDEXABLE) and (strict or f.name in index):
-            raise ValueError(f"Field {f.name} with type {f.dataType.simpleString()} is not supported")
+            raise ValueError(f"Column {f.name} of type {f.dataType.simpleString()} can't be {'indexed' if f.name in index else 'stored'}")
 
 
 def ordered(schema: T.StructType, index: list[str], partition_by: list[str]) -> T.StructType:
