@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import filters as P
 from ..operators import scan
-from ..sources import inspect, scratch, tables
+from ..sources import files, inspect, scratch, tables
+from ..streaming import read_stream, windowed_counts
 
 _written: dict = {}
 
@@ -33,8 +34,8 @@ def _orders(spark, sf_dir, **options):
     return _table(spark, sf_dir, "orders", "o_custkey", **options)
 
 
-def _lineitem(spark, sf_dir, index="l_orderkey,l_partkey", **options):
-    return _table(spark, sf_dir, "lineitem", index, **options)
+def _lineitem(spark, sf_dir, index="l_orderkey,l_partkey", shape=None, kind="", **options):
+    return _table(spark, sf_dir, "lineitem", index, shape, kind, **options)
 
 
 def _part(spark, sf_dir, **options):
@@ -52,6 +53,11 @@ def _events(spark, sf_dir):
     return _table(spark, sf_dir, "events", "ts", lambda df: df.withColumn("ts", F.col("ts").cast("timestamp")), "instants")
 
 
+def _days(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _table(spark, sf_dir, "events", "ts", lambda df: df.withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp"))), "days")
+
+
 def _dated(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem", "l_shipdate", lambda df: df.withColumn("l_shipdate", F.col("l_shipdate").cast("date")), "dates")
 
@@ -116,11 +122,9 @@ def filter_range_timestamp(spark, sf_dir):
     return scan(spark, _events(spark, sf_dir), P.between("ts", low, high), ["event_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("SELECT event_id, ts FROM events WHERE ts = (SELECT min(ts) FROM events)")
+@query("SELECT event_id, date_trunc('day', ts) AS ts FROM events WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-15 00:00:00'")
 def filter_eq_timestamp(spark, sf_dir):
-    df = tables.read_indexed(spark, _events(spark, sf_dir))
-    least = df.agg(F.min("ts").alias("least"))
-    return df.join(F.broadcast(least), F.col("ts") == F.col("least")).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))  # one row
+    return scan(spark, _days(spark, sf_dir), P.eqt("ts", datetime.datetime(2024, 1, 15, tzinfo=datetime.timezone.utc)), ["event_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("SELECT doc_id, toxic = 1 AS toxic FROM labels WHERE toxic = 1")
@@ -181,6 +185,11 @@ def filter_nullsafe(spark, sf_dir):
     return scan(spark, _with_nulls(spark, sf_dir), P.null_safe("o_orderstatus", "F"), ["o_orderkey", "o_orderstatus"])
 
 
+@query(NULLED + "nullif(o_orderstatus, 'P') IS DISTINCT FROM 'F'")
+def filter_not_nullsafe(spark, sf_dir):
+    return scan(spark, _with_nulls(spark, sf_dir), ~P.null_safe("o_orderstatus", "F"), ["o_orderkey", "o_orderstatus"])
+
+
 @query(NULLED + "nullif(o_orderstatus, 'P') = NULL")
 def filter_eq_null(spark, sf_dir):
     df = tables.read_indexed(spark, _with_nulls(spark, sf_dir))
@@ -212,10 +221,10 @@ def _like(name: str, pattern: str, negate: bool = False) -> None:
     query(f"SELECT * FROM part WHERE p_name {'NOT ' * negate}LIKE '{pattern}'")(run)
 
 
-_like("filter_like_prefix", "p%")
-_like("filter_like_suffix", "%1")
+_like("filter_like_prefix", "b%")
+_like("filter_like_suffix", "%t")
 _like("filter_like_contains", "%a%")
-_like("filter_not_like", "p%", True)
+_like("filter_not_like", "s%", True)
 
 
 @query(f"SELECT {LINE} FROM lineitem WHERE (l_orderkey < 100 AND l_quantity > 20) OR (l_partkey = 5 AND l_linenumber >= 2)")
@@ -251,6 +260,22 @@ def count_metadata(spark, sf_dir):
     return spark.createDataFrame([(tables.metadata_count(spark, _lineitem(spark, sf_dir)),)], "n long")
 
 
+@query("SELECT count(*) AS n FROM lineitem")
+def count_without_metadata(spark, sf_dir):
+    return spark.createDataFrame([(tables.metadata_count(spark, _lineitem(spark, sf_dir), enabled=False),)], "n long")
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_quantity > 1000")
+def count_metadata_empty_partitions(spark, sf_dir):
+    path = _lineitem(spark, sf_dir, shape=lambda df: df.filter("l_quantity > 1000"), kind="none", partition_by=("l_returnflag",))
+    return spark.createDataFrame([(tables.metadata_count(spark, path),)], "n long")
+
+
+@query(f"SELECT {LINE} FROM lineitem WHERE l_orderkey BETWEEN 10 AND 500")
+def scan_without_pushdown(spark, sf_dir):
+    return scan(spark, _lineitem(spark, sf_dir), P.between("l_orderkey", 10, 500), LINE.split(", "), pushdown=False)
+
+
 @query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey > 500")
 def count_filter(spark, sf_dir):
     return scan(spark, _lineitem(spark, sf_dir), P.gt("l_orderkey", 500)).agg(F.count("*").alias("n"))
@@ -274,6 +299,26 @@ def bucketed_scan(spark, sf_dir):
     return spark.table(name).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey < 40")
+def bucketed_index_scan(spark, sf_dir):
+    path = tables.save_bucketed(spark.read.parquet(f"{sf_dir}/customer.parquet"), "tessera_indexed_buckets", 4, "c_custkey", index="c_custkey", path=scratch.folder(spark, "buckets"))
+    return scan(spark, path, P.lt("c_custkey", 40), ["c_custkey", "c_name"])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey <= 25")
+def single_file(spark, sf_dir):
+    path = f"{scratch.folder(spark, 'file')}/part.gz"
+    files.write_file(spark.read.parquet(f"{sf_dir}/part.parquet"), path, index="p_partkey", strict_types=False)
+    return files.read_file(spark, path, P.le("p_partkey", 25)).select("p_partkey", "p_name")
+
+
+@query("SELECT count(*) AS rows FROM orders")
+def single_file_info(spark, sf_dir):
+    path = f"{scratch.folder(spark, 'file')}/orders.snappy"
+    files.write_file(spark.read.parquet(f"{sf_dir}/orders.parquet"), path, index="o_custkey", strict_types=False, stripe_rows=100)
+    return spark.createDataFrame([(files.file_info(spark, path).rows,)], "rows long")
+
+
 def _codec(codec: str) -> None:
     def run(spark, sf_dir):
         return scan(spark, _part(spark, sf_dir, compression=codec))
@@ -294,13 +339,41 @@ def stripe_small(spark, sf_dir):
 _STATS = ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::VARCHAR AS low, max({c})::VARCHAR AS high, bool_or({c} IS NULL) AS has_nulls FROM lineitem" for c in _STATS))
+def _bounds(table: str, *columns: tuple[str, str]) -> str:
+    """SQL for the bounds of (name, expression) of a table's columns, as text."""
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({x})::VARCHAR AS low, max({x})::VARCHAR AS high, bool_or({x} IS NULL) AS has_nulls FROM {table}" for c, x in columns)
+
+
+@query(_bounds("lineitem", *((c, c) for c in _STATS)))
 def stats_by_file(spark, sf_dir):
-    files = inspect.file_stats(tables.read_indexed(spark, _lineitem(spark, sf_dir)), list(_STATS))
+    found = inspect.file_stats(spark, _lineitem(spark, sf_dir), list(_STATS))
     number = F.col("column") != "l_returnflag"
     low = F.when(number, F.min(F.expr("try_cast(low AS bigint)")).cast("string")).otherwise(F.min("low"))
     high = F.when(number, F.max(F.expr("try_cast(high AS bigint)")).cast("string")).otherwise(F.max("high"))
-    return files.groupBy("column").agg(low.alias("low"), high.alias("high"), F.max("has_nulls").alias("has_nulls"))
+    return found.groupBy("column").agg(low.alias("low"), high.alias("high"), F.max("has_nulls").alias("has_nulls"))
+
+
+@query(_bounds("lineitem", ("l_shipdate", "l_shipdate::DATE"), ("late", "(l_shipdate >= DATE '1995-01-01')"), ("l_linenumber", "nullif(l_linenumber, 3)::TINYINT")))
+def stats_of_dates_booleans_and_bytes(spark, sf_dir):
+    shape = lambda df: df.select(F.col("l_shipdate").cast("date").alias("l_shipdate"), (F.col("l_shipdate") >= F.lit("1995-01-01")).alias("late"), F.nullif("l_linenumber", F.lit(3)).cast("byte").alias("l_linenumber"))
+    path = _table(spark, sf_dir, "lineitem", "l_shipdate,late,l_linenumber", shape, "typed")
+    return inspect.table_stats(spark, path).drop("known")
+
+
+@query(_bounds("events", ("ts", "date_trunc('second', ts)")))
+def stats_of_times(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path = _table(spark, sf_dir, "events", "ts", lambda df: df.select(F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts")), "seconds")
+    return inspect.table_stats(spark, path).drop("known")
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey = 1")
+def surviving_stripes(spark, sf_dir):
+    """All that a predicate finds lies in the stripes that footers and bloom filters leave."""
+    path = _lineitem(spark, sf_dir, stripe_rows=1000)
+    kept = inspect.surviving_stripes(spark, path, P.eqt("l_orderkey", 1)).select("file").distinct()
+    rows = tables.read_indexed(spark, path).select("l_orderkey", F.input_file_name().alias("file"))
+    return rows.join(kept, "file", "left_semi").filter("l_orderkey = 1").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS rows FROM lineitem")
@@ -315,6 +388,89 @@ def compose_join(spark, sf_dir):
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
+def _join(how: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        lines = scan(spark, _lineitem(spark, sf_dir), P.lt("l_partkey", 40), ["l_orderkey", "l_linenumber"])
+        orders = scan(spark, _orders(spark, sf_dir), columns=["o_orderkey", "o_orderpriority"])
+        return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), how)
+
+    run.__name__ = f"compose_{how}_join"
+    query(sql)(run)
+
+
+_FEW = "(SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < 40)"
+_join("left", f"SELECT o_orderkey, o_orderpriority, l_orderkey, l_linenumber FROM orders LEFT JOIN {_FEW} l ON o_orderkey = l_orderkey")
+_join("right", f"SELECT o_orderkey, o_orderpriority, l_orderkey, l_linenumber FROM orders RIGHT JOIN {_FEW} l ON o_orderkey = l_orderkey")
+_join("full", f"SELECT o_orderkey, o_orderpriority, l_orderkey, l_linenumber FROM orders FULL JOIN {_FEW} l ON o_orderkey = l_orderkey")
+_join("left_semi", f"SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM {_FEW})")
+_join("left_anti", f"SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {_FEW})")
+
+
+@query("SELECT c_mktsegment, sum(o_orderkey)::BIGINT AS keys, count(DISTINCT o_custkey) AS customers FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = 7 GROUP BY 1")
+def compose_broadcast_join(spark, sf_dir):
+    few = scan(spark, _table(spark, sf_dir, "customer", "c_nationkey"), P.eqt("c_nationkey", 7), ["c_custkey", "c_mktsegment"])
+    orders = scan(spark, _orders(spark, sf_dir), columns=["o_custkey", "o_orderkey"])
+    return few.join(orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_mktsegment").agg(F.sum("o_orderkey").alias("keys"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_linestatus)::TINYINT AS every FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def compose_rollup(spark, sf_dir):
+    return tables.read_indexed(spark, _lineitem(spark, sf_dir)).rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping("l_linestatus").alias("every"))
+
+
+@query("SELECT p_brand, p_size, count(*) AS n, max(p_name) AS last FROM part GROUP BY CUBE (p_brand, p_size)")
+def compose_cube(spark, sf_dir):
+    return tables.read_indexed(spark, _part(spark, sf_dir)).cube("p_brand", "p_size").agg(F.count("*").alias("n"), F.max("p_name").alias("last"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, sum(l_linenumber) FILTER (WHERE l_quantity > 25)::BIGINT AS lines, count(DISTINCT l_linenumber) AS numbers FROM lineitem GROUP BY 1 HAVING count(*) > 3")
+def compose_distinct_agg(spark, sf_dir):
+    lines = F.sum(F.when(F.col("l_quantity") > 25, F.col("l_linenumber"))).alias("lines")
+    found = tables.read_indexed(spark, _lineitem(spark, sf_dir)).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), lines, F.count_distinct("l_linenumber").alias("numbers"))
+    return found.filter("n > 3").drop("n")
+
+
+@query("SELECT o_custkey AS key FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10")
+def compose_intersect(spark, sf_dir):
+    customers = scan(spark, _table(spark, sf_dir, "customer", "c_nationkey"), P.lt("c_nationkey", 10), ["c_custkey"])
+    return scan(spark, _orders(spark, sf_dir), columns=["o_custkey"]).toDF("key").intersect(customers)
+
+
+@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def compose_except(spark, sf_dir):
+    served = tables.read_indexed(spark, _orders(spark, sf_dir)).filter("o_orderstatus = 'F'").select("o_custkey")
+    return scan(spark, _table(spark, sf_dir, "customer", "c_nationkey"), columns=["c_custkey"]).toDF("key").subtract(served)
+
+
+@query(
+    "SELECT event_id, upper(event_type) AS kind, json_extract_string(props, '$.k')::INTEGER AS k, date_trunc('hour', ts) AS hour, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level, "
+    "coalesce(nullif(event_type, 'view'), '-') AS other, length(event_type)::INTEGER AS n, (floor(value) % 7)::BIGINT AS rest FROM events"
+)
+def compose_scalars(spark, sf_dir):
+    df = tables.read_indexed(spark, _events(spark, sf_dir))
+    return df.select(
+        "event_id", F.upper("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+        F.when(F.col("value") > 50, "high").otherwise("low").alias("level"), F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("-")).alias("other"), F.length("event_type").alias("n"), (F.floor("value") % 7).alias("rest"),
+    )
+
+
+@query("SELECT p_partkey, length(p_name) - length(replace(p_name, 'e', '')) AS e FROM part")
+def compose_pandas_udf(spark, sf_dir):
+    import pandas as pd
+
+    def letters(names):
+        return names.str.count("e")
+
+    letters.__annotations__ = {"names": pd.Series, "return": pd.Series}
+    return tables.read_indexed(spark, _part(spark, sf_dir)).select("p_partkey", F.pandas_udf(letters, "long")("p_name").alias("e"))
+
+
+@query("SELECT o_custkey, o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS run, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
+def compose_window_frame(spark, sf_dir):
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return tables.read_indexed(spark, _orders(spark, sf_dir)).select("o_custkey", "o_orderkey", F.sum("o_orderkey").over(order.rowsBetween(-2, 0)).alias("run"), F.lag("o_orderkey").over(order).alias("before"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS most, min(l_tax) AS least FROM lineitem GROUP BY 1, 2")
 def compose_agg(spark, sf_dir):
     return tables.read_indexed(spark, _lineitem(spark, sf_dir)).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.max("l_quantity").alias("most"), F.min("l_tax").alias("least"))
@@ -337,15 +493,24 @@ def compose_union(spark, sf_dir):
     return scan(spark, _orders(spark, sf_dir), columns=["o_custkey"]).toDF("key").union(customers).distinct()
 
 
-@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
-def compose_stream(spark, sf_dir):
-    from ..streaming import read_stream
-
+def _streamed(spark, frame, mode: str):
+    """A streaming query over what there is, run to its end into a table in memory."""
     name = f"tessera_stream_{next(_numbers)}"
-    found = read_stream(spark, _lineitem(spark, sf_dir)).groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    running = found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name)
 
 
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def compose_stream(spark, sf_dir):
+    return _streamed(spark, read_stream(spark, _lineitem(spark, sf_dir)).groupBy("l_returnflag").agg(F.count("*").alias("n")), "complete")
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def compose_windowed_stream(spark, sf_dir):
+    """Counts by day and type under a watermark; a late row is one that comes more than a month behind."""
+    found = windowed_counts(read_stream(spark, _events(spark, sf_dir), max_files=1), "ts", "1 day", "40 days", "event_type")
+    return _streamed(spark, found, "complete").select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
 _numbers = itertools.count()
