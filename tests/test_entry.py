@@ -23,3 +23,9 @@ def test_without_the_optional_folders(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_a_package_that_the_optional_folder_needs_is_missing():
+    code = "import sys; sys.modules['pandas'] = None; import __spark_entry__ as e; q = e.queries(); assert 'scan_full' in q and 'pipeline' not in q, q; assert set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0 and (not os.path.isdir(f"{ROOT}/tessera/llm") or "left out" in done.stderr), done.stderr
