@@ -1,6 +1,6 @@
 """A corpus pipeline: quality, boilerplate lines, near duplicates, mixing and packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; of no rows it makes none.
 """
 
 from __future__ import annotations
@@ -12,27 +12,33 @@ from tessera.llm.runtime import prepare, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; an empty or null text is judged as an empty text, repeated rows alike."""
     return stages.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go."""
+    """Lines that are boilerplate of their source go; every row stays, with a null text as it is."""
     return stages.without_boilerplate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: shingles of five words, similarity of 0.8 or more.
+
+    Of repeated rows one stays; documents without words, and those without doc_id, are linked with nothing and stay.
+    """
     return stages.one_of_each(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken 0, 1 or 2 times, so that sources come to their target weights."""
+    """Documents are taken 0, 1 or 2 times, so that sources come to their target weights.
+
+    Documents without words are not taken; repeated rows are taken each on their own.
+    """
     return stages.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024 ids."""
+    """Token sequences of at most 1024 ids; a null or empty text is its end id, repeated rows are packed each."""
     return packing.pack(docs, catalogue.vocabulary())
 
 
