@@ -349,6 +349,53 @@ def test_join_of_long_texts(spark):
     assert (a.bits, b.bits) == (4096, 8192) and tokengroups.overlaps(a, b, 90).all() and (b.marked(4096)[0].sum(1) <= b.marked(8192)[0].sum(1)).all()
 
 
+def test_distances_from_centres_decide_near_copies():
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 1 << 60, 300).astype(np.uint64))
+
+    def block(first, n, changes, of=base):
+        sets = []
+        for _ in range(n):
+            m = int(r.integers(0, changes + 1))
+            sets.append(np.unique(np.append(r.permutation(of)[m:], r.integers(0, 1 << 60, m).astype(np.uint64))))
+        return tokengroups.Block.of(list(range(first, first + n)), [1 + i % 3 for i in range(n)], sets), sets
+
+    def links(x, y):
+        both = np.array([[len(np.intersect1d(s, t)) for t in y] for s in x])
+        return 190 * both >= 90 * (np.array([len(s) for s in x])[:, None] + np.array([len(t) for t in y])[None, :])
+
+    def unread(*_):
+        raise AssertionError("tokens are read")
+
+    tight, wide = block(0, 40, 6), block(100, 50, 40)
+    other = block(200, 30, 6, np.unique(r.integers(0, 1 << 60, 300).astype(np.uint64)))
+    again = block(300, 20, 5)
+    assert tight[0].tight(90) and not wide[0].tight(90) and tight[0].apart.max() <= 0.05
+    for (a, x), (b, y) in ((tight, wide), (wide, tight), (tight, again), (wide, wide), (tight, other), (wide, other)):
+        want, got = links(x, y), tokengroups.overlaps(a, b, 90)
+        assert got is None and not want.any() or (got == want).all()
+    for a, b in ((tight, again), (tight, other)):
+        bare = [tokengroups.Block(z.bits, z.docs, z.weights, z.sizes, z.apart, z.centre, unread, unread) for z in (a[0], b[0])]
+        found = tokengroups._found(*bare, 90)
+        if b is again:
+            assert found[0] == [(300, 0)] and (found[1] == b[0].weights.sum()).all() and (found[2] == a[0].weights.sum()).all()
+        else:
+            assert found is None
+
+
+def test_join_of_a_large_group_of_near_copies(spark):
+    """Several blocks of near copies, some nearer than others, weights by equal texts."""
+    r = random.Random(11)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for i in range(900):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+            w[r.randrange(200)] = f"c{r.randrange(4)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(tokengroups.join(docs), "doc_id", "n_shingles", "component_id", "n_links") == brute_join(rows, 3, 90)
+
+
 def test_bitmaps_hold_all_values(spark):
     rows = spark.range(0, 40_000, 2).select("id")
     made, among = tokengroups.bits(rows, "id")
@@ -976,6 +1023,32 @@ def test_windows_of_a_large_source_stay_small(spark):
 # Stages.
 
 
+def test_very_long_texts(spark):
+    """Texts of some megabytes: one of many words, one of a single word, beside short ones."""
+    r = random.Random(13)
+    words = [f"word{i}" for i in range(5000)]
+    many = " ".join(r.choice(words) for _ in range(250_000))
+    rows = [(1, many, "a"), (2, many + " one more", "a"), (3, "x" * 1_500_000, "b"), (50, many[:300_000], "a"), (4, "", "b"), (5, None, None)]
+    docs = frame(spark, rows)
+    assert rows_of(tokengroups.join(docs), "doc_id", "component_id") == sorted([(1, 1), (2, 1), (3, 3), (50, 50), (4, 4), (5, 5)], key=repr)
+    assert [x["doc_id"] for x in wand.search(docs, k=2).orderBy("rank").collect()] == [1, 2]
+    ids = {d: reference_ids([t])[0] for d, t, _ in rows if d != 3}
+    coded = {x["doc_id"]: x for x in dac.round_trip(docs.filter("doc_id <> 3"), VOCABULARY).collect()}
+    assert {d: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for d, v in ids.items()} == {d: (x["n_tokens"], x["ids_crc32"]) for d, x in coded.items()}
+    check_packing(packing.pack(docs.filter("doc_id <> 3").coalesce(1), VOCABULARY).collect(), ids, 1024)
+    assert all(0 <= x["score"] <= 1 for x in quality.score(docs, quality.Network()).collect())
+    assert sum(x["n_spans"] for x in pii.detect(docs).collect()) == 0 and linededup.drop_boilerplate(docs).count() == mixing.mix(docs).count() == 6
+
+
+def test_keep_quality_edges(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "|||| junk ||||", i) for i in range(40)] + [(7, "good words", 7), (None, None, 0), (41, "", 1)], "doc_id long, text string, _score int")
+    kept = stages.keep_quality(docs, labels)
+    assert kept.schema == docs.schema and kept.filter("doc_id = 7").count() == 2 and kept.count() < docs.count()
+    assert stages.keep_quality(docs.limit(0), labels).count() == 0 == stages.keep_quality(docs.limit(0), labels.limit(0)).count()
+    assert stages.keep_quality(docs, labels.limit(0)).count() == docs.count()
+
+
 def test_stages_keep_columns(spark):
     docs = frame(spark).withColumnRenamed("size", "n_chars")
     for out in (stages.without_boilerplate(docs), stages.one_of_each(docs), stages.mixed(docs)):
