@@ -465,6 +465,32 @@ def compose_pandas_udf(spark, sf_dir):
     return tables.read_indexed(spark, _part(spark, sf_dir)).select("p_partkey", F.pandas_udf(letters, "long")("p_name").alias("e"))
 
 
+@query("SELECT l_returnflag, (max(l_orderkey) - min(l_orderkey))::BIGINT AS span FROM lineitem GROUP BY 1")
+def compose_pandas_aggregate(spark, sf_dir):
+    import pandas as pd
+
+    def span(keys):
+        return int(keys.max() - keys.min())
+
+    span.__annotations__ = {"keys": pd.Series, "return": int}
+    # Few rows a group: each line's order is one of those of its flag and number.
+    lines = tables.read_indexed(spark, _lineitem(spark, sf_dir)).groupBy("l_returnflag", "l_linenumber").agg(F.max("l_orderkey").alias("high"), F.min("l_orderkey").alias("low"))
+    ends = lines.select("l_returnflag", F.explode(F.array("low", "high")).alias("key"))
+    return ends.groupBy("l_returnflag").agg(F.pandas_udf(span, "long")("key").alias("span"))
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def compose_table_function(spark, sf_dir):
+    class Words:
+        def eval(self, name):
+            for word in name.split(" "):
+                yield (word,)
+
+    spark.udtf.register("tessera_words", F.udtf(Words, returnType="word string"))
+    tables.create_view(spark, "tessera_part", _part(spark, sf_dir))
+    return spark.sql("SELECT p_partkey, word FROM tessera_part, LATERAL tessera_words(p_name)")
+
+
 @query("SELECT o_custkey, o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS run, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
 def compose_window_frame(spark, sf_dir):
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
