@@ -206,13 +206,21 @@ def _windows(k: int, window: int, every: int):
     return freed(run)
 
 
-def _coded(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How near pairs of codes are."""
-    for b in found:
-        if b.num_rows:
-            (a, s), (c, t) = decoded(b.column(2).to_pylist()), decoded(b.column(3).to_pylist())
-            near = (a.astype(np.float32) * c.astype(np.float32)).sum(1) * s * t
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float32())], names=["query_id", "vec_id", "near"])
+def _across(k: int, window: int):
+    """Of the rows of a cell and the queries whose windows reach it, all near edges: each query's best in other tasks."""
+
+    def run(found: pa.Table) -> pa.Table:
+        part, rank, ids, asked = (np.asarray(found[c]) for c in ("part", "rank", "vec_id", "asked"))
+        whole, scale = decoded(found["code"].to_pylist())
+        rows = np.flatnonzero(~asked)
+        these, out = whole[rows].astype(np.float32), []
+        for q in np.flatnonzero(asked):
+            near = (these @ whole[q].astype(np.float32)) * scale[rows] * scale[q]
+            out += _nearest(int(ids[q]), (part[rows] == part[q]) | (np.abs(rank[rows] - rank[q]) > window) | (ids[rows] == ids[q]), ids[rows], near, k)
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float32()))], names=["query_id", "vec_id", "near"])
+
+    return run
 
 
 def _scored(kind: str):
@@ -239,10 +247,8 @@ def windowed(rows: DataFrame, kind: str, k: int, every: int, curves: int, dims:
     edges = found.filter("code is not null").join(starts, ["curve", "part"]).select("curve", "part", "vec_id", "code", (F.col("start") + F.col("at")).alias("rank"))
     edges = stored(edges.withColumn("cell", F.floor(F.col("rank") / window)), "curve-edges")
     asked = edges.filter(F.col("vec_id") % every == 0).withColumn("cell", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])))
-    near = (F.col("a.part") != F.col("b.part")) & (F.abs(F.col("a.rank") - F.col("b.rank")) <= window) & (F.col("a.vec_id") != F.col("b.vec_id"))
-    pairs = asked.alias("a").join(edges.alias("b"), (F.col("a.curve") == F.col("b.curve")) & (F.col("a.cell") == F.col("b.cell")) & near)
-    pairs = pairs.select(F.col("a.vec_id").alias("query_id"), "b.vec_id", F.col("a.code").alias("x"), F.col("b.code").alias("y"))
-    across = pairs.mapInArrow(_coded, "query_id long, vec_id long, near float")
+    cells = edges.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).groupBy("curve", "cell")
+    across = cells.applyInArrow(_across(4 * k, window), "query_id long, vec_id long, near float")  # a cell has at most ``window`` rows
     one = inside.unionByName(across).groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     few = stored(one.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 4 * k).select("query_id", "vec_id"), "curve-candidates")
