@@ -8,11 +8,14 @@ don't make a whole segment equal). Sets that do are linked to the first of each
 components of these links are the groups of similar sets.
 
 Matrix. A group is laid out by size in blocks of bounded numbers of sets and tokens, which tasks write to files in the shared
-folder, with a bitmap of hashed tokens for each set and so, by their union, for the block. Blocks of fitting
-sizes of one group meet. What a query's bitmap has outside a block's union it can't share with any member,
-which bounds its overlap with all of them; only if some query's bound reaches t are the members' bitmaps
-multiplied, and only members whose own bound reaches t are opened: their tokens are read and a product of
-matrices over the tokens gives exact overlaps. It leaves one edge a set, not all pairs, and the number of its links.
+folder, with the tokens that most of its sets hold as its centre, each set's distance from it, and a bitmap of
+hashed tokens for each set and so, by their union, for the block. Blocks of fitting sizes of one group meet.
+Jaccard distance is a metric, so distances from the centres, and between these, decide most pairs: near copies
+of one text are linked, and strangers are not, without a look at their tokens. For the others, what a query's
+bitmap has outside a block's union it can't share with any member, which bounds its overlap with all of them;
+only if some query's bound reaches t are the members' bitmaps multiplied, and only members whose own bound
+reaches t are opened: their tokens are read and a product of matrices over the tokens gives exact overlaps. It
+leaves one edge a set, not all pairs, and the number of its links.
 
 Equal sets are joined before, by a 128-bit fingerprint, and stand as one with a weight.
 """
@@ -35,6 +38,7 @@ from .shingles import mix
 
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 17, 4096
 MAPPINGS = 3
+SLACK = 1e-9
 
 
 def classes(percent: int, most: int) -> np.ndarray:
@@ -218,12 +222,18 @@ BLOCK = "family long, block long, low long, high long, path string, at long, set
 BITS, MOST_BITS = 4096, 1 << 16  # of a set's bitmap: eight a token of the largest set in the block, within these
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard distance of two sorted sets; 1 if one is empty."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 1 - both / (len(x) + len(y) - both) if both else 1.0
+
+
 class Block:
-    """The sets of a block: docs, weights, sizes and bitmaps, and their tokens when they are asked for."""
+    """The sets of a block: docs, weights, sizes, a centre and distances from it; bitmaps and tokens when they are asked for."""
 
-    def __init__(self, docs: np.ndarray, weights: np.ndarray, sizes: np.ndarray, marks: np.ndarray, tokens):
-        self.docs, self.weights, self.sizes, self.marks, self._tokens = docs, weights, sizes, marks, tokens
-        self.bits = 8 * marks.shape[1]
+    def __init__(self, bits: int, docs: np.ndarray, weights: np.ndarray, sizes: np.ndarray, apart: np.ndarray, centre: np.ndarray, marks, tokens):
+        self.bits, self.docs, self.weights, self.sizes, self.apart, self.centre = bits, docs, weights, sizes, apart, centre
+        self._marks, self._tokens = marks, tokens
 
     @staticmethod
     def of(docs: list[int], weights: list[int], sets: list[np.ndarray]) -> Block:
@@ -231,10 +241,14 @@ class Block:
         n = min(MOST_BITS, max(BITS, 1 << int(8 * sizes.max() - 1).bit_length()))
         bits = np.zeros((len(docs), n), bool)
         bits[np.repeat(np.arange(len(docs)), sizes), (mix(tokens + np.uint64(99)) >> np.uint64(20)) % np.uint64(n)] = True
-        return Block(np.array(docs, np.int64), np.array(weights, np.int64), sizes, np.packbits(bits, axis=1), tokens)
+        every, held = np.unique(tokens, return_counts=True)
+        centre = every[2 * held > len(sets)]
+        marks = np.packbits(bits, axis=1)
+        return Block(n, np.array(docs, np.int64), np.array(weights, np.int64), sizes, np.array([distance(x, centre) for x in sets]), centre, lambda: marks, lambda: tokens)
 
     def pack(self) -> bytes:
-        return b"".join(x.tobytes() for x in (np.array([self.bits]), self.docs, self.weights, self.sizes, self.marks, self.tokens))
+        head = np.array([self.bits, len(self.centre)])
+        return b"".join(x.tobytes() for x in (head, self.docs, self.weights, self.sizes, self.apart, self.centre, self.marks, self.tokens))
 
     @staticmethod
     def load(path: str, at: int, sets: int, size: int) -> Block:
@@ -244,12 +258,27 @@ class Block:
             with fs.open_input_file(place) as f:
                 return f.read_at(stop - start, at + start)
 
-        bits = int(np.frombuffer(read(0, 8), np.int64)[0])
-        head = 8 + sets * (24 + bits // 8)
-        data = read(8, head)
-        numbers = np.frombuffer(data, np.int64, 3 * sets).reshape(3, sets)
-        marks = np.frombuffer(data, np.uint8, offset=24 * sets).reshape(sets, -1)
-        return Block(*numbers, marks, lambda: np.frombuffer(read(head, size), np.uint64))
+        data = read(0, min(size, 16 + 32 * sets + (1 << 14)))
+        bits, centre = np.frombuffer(data, np.int64, 2).tolist()
+        head = 16 + 32 * sets + 8 * centre
+        data = data if len(data) >= head else read(0, head)
+        tail = head + sets * bits // 8
+        numbers = np.frombuffer(data, np.int64, 3 * sets, 16).reshape(3, sets)
+        apart = np.frombuffer(data, np.float64, sets, 16 + 24 * sets)
+        marks = lambda: np.frombuffer(read(head, tail), np.uint8).reshape(sets, -1)
+        return Block(bits, *numbers, apart, np.frombuffer(data, np.uint64, centre, 16 + 32 * sets), marks, lambda: np.frombuffer(read(tail, size), np.uint64))
+
+    @functools.cached_property
+    def marks(self) -> np.ndarray:
+        return self._marks()
+
+    @functools.cached_property
+    def tokens(self) -> np.ndarray:
+        return self._tokens()
+
+    def tight(self, percent: int) -> bool:
+        """Whether all of its sets are certainly linked to each other."""
+        return 2 * self.apart.max() <= 1 - percent / 100 - SLACK
 
     @functools.lru_cache(maxsize=2)
     def marked(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,12 +286,6 @@ class Block:
         whole = np.unpackbits(self.marks, axis=1).reshape(len(self.docs), -1, bits).max(1).astype(np.float32)
         return whole, whole.sum(1), whole.max(0)
 
-    @property
-    def tokens(self) -> np.ndarray:
-        if callable(self._tokens):
-            self._tokens = self._tokens()
-        return self._tokens
-
     def members(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, token) of all tokens of some sets."""
         keep = np.zeros(len(self.docs), bool)
@@ -275,6 +298,14 @@ class Block:
 def overlaps(a: Block, b: Block, percent: int) -> np.ndarray | None:
     """Which sets of a are linked to which of b; None if the bounds open nothing."""
 
+    between, most = distance(a.centre, b.centre), 1 - percent / 100
+    x, y = a.apart[:, None], b.apart[None, :]
+    sure = x + between + y <= most - SLACK
+    never = np.maximum(np.abs(x - y) - between, between - x - y) > most + SLACK
+    unsure = ~(sure | never)
+    if not unsure.any():
+        return sure if sure.any() else None
+    some = sure if sure.any() else None
     bits = min(a.bits, b.bits)
     (am, ac, au), (bm, bc, bu) = a.marked(bits), b.marked(bits)
 
@@ -283,16 +314,16 @@ def overlaps(a: Block, b: Block, percent: int) -> np.ndarray | None:
         most = x.sizes - (counts - marks @ union)
         return (100 + percent) * most >= percent * (x.sizes + y.sizes.min())
 
-    rows, cols = np.flatnonzero(reach(a, am, ac, b, bu)), np.flatnonzero(reach(b, bm, bc, a, au))
+    rows, cols = np.flatnonzero(unsure.any(1) & reach(a, am, ac, b, bu)), np.flatnonzero(unsure.any(0) & reach(b, bm, bc, a, au))
     if not len(rows) or not len(cols):
-        return None
+        return some
     both = am[rows] @ bm[cols].T
     sizes = a.sizes[rows][:, None] + b.sizes[cols][None, :]
     most = np.minimum((a.sizes - ac)[rows][:, None], (b.sizes - bc)[cols][None, :]) + both
-    open_ = (100 + percent) * most >= percent * sizes
+    open_ = unsure[np.ix_(rows, cols)] & ((100 + percent) * most >= percent * sizes)
     rows, cols = rows[open_.any(1)], cols[open_.any(0)]
     if not len(rows):
-        return None
+        return some
     (ra, ta), (rb, tb) = a.members(rows), b.members(cols)
     shared = np.intersect1d(np.unique(ta), np.unique(tb), assume_unique=True)
 
@@ -311,7 +342,7 @@ def overlaps(a: Block, b: Block, percent: int) -> np.ndarray | None:
         x[ra[sa], ca[sa] - low] = 1
         y[rb[sb], cb[sb] - low] = 1
         total += x @ y.T
-    return (100 + percent) * total.astype(np.int64) >= percent * (a.sizes[:, None] + b.sizes[None, :])
+    return sure | unsure & ((100 + percent) * total.astype(np.int64) >= percent * (a.sizes[:, None] + b.sizes[None, :]))
 
 
 def _edges(docs: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
@@ -327,20 +358,24 @@ def _edges(docs: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return [(int(d), int(by[k])) for d, k in zip(docs, label) if d != by[k]]
 
 
-def _found(a: Block, b: Block | None, percent: int) -> list[tuple]:
-    """Edges (a, b, None) and numbers of links (a, None, n) between two blocks, or within one."""
+def _found(a: Block, b: Block | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray | None] | None:
+    """Edges between two blocks, or within one, and the number of links of the sets of each; None without any."""
     linked = overlaps(a, b or a, percent)
     if linked is None:
-        return []
+        return None
     if b is None:
-        docs, square = a.docs, linked & ~np.eye(len(a.docs), dtype=bool)
-        counts = [(docs, square @ a.weights)]
+        square = linked & ~np.eye(len(a.docs), dtype=bool)
+        return _edges(a.docs, square), square @ a.weights, None
+    if linked.all():  # a tight block's own edges lead to its smallest doc already
+        least = min(a.docs.min(), b.docs.min())
+        ends = [d for x in (a, b) for d in ([x.docs.min()] if x.tight(percent) else x.docs)]
+        edges = [(int(d), int(least)) for d in ends if d != least]
     else:
         n = len(a.docs)
-        docs, square = np.append(a.docs, b.docs), np.zeros((n + len(b.docs),) * 2, bool)
+        square = np.zeros((n + len(b.docs),) * 2, bool)
         square[:n, n:], square[n:, :n] = linked, linked.T
-        counts = [(a.docs, linked @ b.weights), (b.docs, linked.T @ a.weights)]
-    return [(x, y, None) for x, y in _edges(docs, square)] + [(int(d), None, int(c)) for ds, cs in counts for d, c in zip(ds, cs) if c]
+        edges = _edges(np.append(a.docs, b.docs), square)
+    return edges, linked @ b.weights, linked.T @ a.weights
 
 
 def _blocks(folder: str, width: int, percent: int):
@@ -363,7 +398,8 @@ def _blocks(folder: str, width: int, percent: int):
             out.write(data)
             sizes = made_of.sizes
             rows = [(now, (task.partitionId() << 32) + made, int(sizes.min()), int(sizes.max()), f"{folder}/{name}", place, len(held), len(data), None, None, None)]
-            rows += [(None,) * 8 + x for x in _found(made_of, None, percent)]
+            edges, counts, _ = _found(made_of, None, percent) or ([], [], None)
+            rows += [(None,) * 8 + (*x, None) for x in edges] + [(None,) * 8 + (int(d), None, int(c)) for d, c in zip(made_of.docs, counts) if c]
             made, held, place = made + 1, [], place + len(data)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "path" else pa.int64()) for c, n in zip(zip(*rows), names)], names=names)
 
@@ -390,16 +426,39 @@ def _blocks(folder: str, width: int, percent: int):
 LINKS = "a long, b long, links long"
 
 
-def _across(percent: int, kept: int = 4):
-    """Links between pairs of blocks, which come in order of the first."""
+def _across(percent: int, kept: int = 16, held: int = 2048):
+    """Links between pairs of blocks, which come in order of the first: edges (a, b, None), and numbers of links (a, None, n).
+
+    Numbers are summed in the task, for up to ``held`` blocks at a time.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = functools.lru_cache(maxsize=kept)(Block.load)
+        sums: dict = {}
+
+        def rows(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b", "links"])
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for docs, counts in sums.values():
+                some = [(int(d), None, int(c)) for d, c in zip(docs, counts) if c]
+                if some:
+                    yield rows(some)
+            sums.clear()
+
         for batch in found:
             for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
-                rows = _found(load(*row[:4]), load(*row[4:]), percent)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "links"])
+                blocks = load(*row[:4]), load(*row[4:])
+                got = _found(*blocks, percent)
+                if got is None:
+                    continue
+                if got[0]:
+                    yield rows([(*x, None) for x in got[0]])
+                for key, block, counts in zip((row[:2], row[4:6]), blocks, got[1:]):
+                    sums[key] = block.docs, sums[key][1] + counts if key in sums else counts
+                if len(sums) > held:
+                    yield from counted()
+        yield from counted()
 
     return freed(run)
 
