@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 from .runtime import freed, prepare, stored
 
-KEYED = "curve int, key long, vec_id long, vec binary"
+KEYED = "curve int, key long, vec_id long, vec binary, task int"
 NEAR = "query_id long, vec_id long, near float, curve int, part int, at long, code binary, size long"
 BLOCK = "block long, ids binary, vecs binary, centre binary, cosine double"
 SLACK = 1e-9
 SALTS = 16
+NO_CUTS = np.empty((0, 2), np.int64)
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -120,8 +122,8 @@ def places(points: np.ndarray, curve: int, dims: int, bits: int, seed: int) -> n
     return hilbert(np.clip(z * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
 
 
-def _keys(curves: int, dims: int, bits: int, seed: int, kind: str, whole: bool):
-    """Rows once for each curve, as codes, or as they are if ``whole``."""
+def _keys(curves: int, dims: int, bits: int, seed: int, kind: str, whole: bool, cut: np.ndarray):
+    """Rows once for each curve, as codes, or as they are if ``whole``, and their task by cuts of (key over all curves, vec_id)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
@@ -132,11 +134,22 @@ def _keys(curves: int, dims: int, bits: int, seed: int, kind: str, whole: bool):
             points = unit(rows)
             vecs = pa.array([x.tobytes() for x in rows] if whole else codes(points), pa.binary())
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(places(points, c, dims, bits, seed)), pa.array(ids), vecs], names=["curve", "key", "vec_id", "vec"])
+                key = places(points, c, dims, bits, seed)
+                task = ranges.task_of((c << dims * bits) + key, ids, cut)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(key), pa.array(ids), vecs, pa.array(task)], names=["curve", "key", "vec_id", "vec", "task"])
 
     return freed(run)
 
 
+def laid(rows: DataFrame, size: int, curves: int, dims: int, bits: int, seed: int, kind: str, whole: bool, rows_of_task: int) -> DataFrame:
+    """``size`` rows in order of (curve, key, vec_id) over tasks and in each, with curve, vec_id and vec."""
+    tasks = int(min(100_000, max(2 * rows.sparkSession.sparkContext.defaultParallelism, size * curves // rows_of_task)))
+    some = rows.sample(ranges.share(size * curves, tasks), seed=1).mapInArrow(_keys(curves, dims, bits, seed, kind, True, NO_CUTS), KEYED)
+    cut = ranges.cuts(some.select((F.shiftleft(F.col("curve").cast("long"), dims * bits) + F.col("key")).alias("key"), "vec_id").toArrow(), tasks)
+    keyed = rows.mapInArrow(_keys(curves, dims, bits, seed, kind, whole, cut), KEYED)
+    return keyed.repartitionById(len(cut) + 1, "task").sortWithinPartitions("curve", "key", "vec_id").select("curve", "vec_id", "vec")
+
+
 def _nearest(query: int, own: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> list[tuple]:
     """The k best of some rows for a query, other than itself, by their codes."""
     near = np.where(own, -np.inf, near)
@@ -235,11 +248,9 @@ def _scored(kind: str):
     return freed(run)
 
 
-def windowed(rows: DataFrame, kind: str, k: int, every: int, curves: int, dims: int, bits: int, window: int, seed: int) -> DataFrame:
+def windowed(rows: DataFrame, size: int, kind: str, k: int, every: int, curves: int, dims: int, bits: int, window: int, seed: int) -> DataFrame:
     """query_id, vec_id and score of the best in each query's windows, by codes 4 * k of them, scored by the vectors."""
-    keyed = rows.mapInArrow(_keys(curves, dims, bits, seed, kind, False), KEYED)
-    laid = keyed.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").select("curve", "vec_id", "vec")
-    found = stored(laid.mapInArrow(_windows(4 * k, window, every), NEAR), "curve-windows")
+    found = stored(laid(rows, size, curves, dims, bits, seed, kind, False, 1 << 18).mapInArrow(_windows(4 * k, window, every), NEAR), "curve-windows")
     inside = found.filter("query_id is not null").select("query_id", "vec_id", "near")
     # Across edges of tasks: a row's place on the whole curve tells its cell, and windows reach into the next ones.
     order = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
@@ -322,15 +333,15 @@ def _opened(k: int, kind: str):
     return freed(run)
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, str]:
-    """Rows that take part, and the kind of their numbers."""
+def usable(vectors: DataFrame) -> tuple[DataFrame, int, str]:
+    """Rows that take part, how many they are, and the kind of their numbers."""
     column = F.col("embedding")
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long"), (column if kind == "<f4" else column.cast("array<double>")).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite & F.exists("embedding", lambda x: x != 0))
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return (rows if sizes is None else rows.filter(F.size("embedding") == sizes["n"])), kind
+    return (rows, 0, kind) if sizes is None else (rows.filter(F.size("embedding") == sizes["n"]), sizes["count"], kind)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -351,15 +362,16 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 8, dim
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows, kind = usable(vectors)
-    first = stored(_top(windowed(rows, kind, k, every, curves, dims, bits, window, seed), k).select("query_id", "rank", "vec_id", "score"), "curve-first")
+    if dims * bits > 54 or curves > 256:
+        raise ValueError("keys of all curves are held in 64 bits: dims * bits may be 54, curves 256")
+    rows, size, kind = usable(vectors)
+    first = stored(_top(windowed(rows, size, kind, k, every, curves, dims, bits, window, seed), k).select("query_id", "rank", "vec_id", "score"), "curve-first")
     if not widen:
         return first.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    ordered = lambda some: some.mapInArrow(_keys(1, dims, bits, seed, kind, True), KEYED)
-    packed = ordered(rows).repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").select("vec_id", "vec")
+    packed = laid(rows, size, 1, dims, bits, seed, kind, True, 1 << 17).select("vec_id", "vec")
     blocks = stored(packed.mapInArrow(_blocks(block, kind), BLOCK), "curve-blocks")
     kth = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-2.0).alias("least"))
-    queries = ordered(rows.filter(F.col("vec_id") % every == 0)).join(kth, F.col("vec_id") == F.col("query_id"), "left")
+    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_keys(1, dims, bits, seed, kind, True, NO_CUTS), KEYED).join(kth, F.col("vec_id") == F.col("query_id"), "left")
     queries = queries.select("vec_id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"), "key")
     chunked = stored(queries.repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").drop("key").mapInArrow(_chunks(1024, kind), "chunk long, query_ids binary, queries binary, least binary"), "query-chunks")
     # Summaries of blocks, 1024 in a row, meet each chunk once: rows are numbered by a hash of the block.

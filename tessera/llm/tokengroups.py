@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import ranges, shingles
 from .components import components
 from .runtime import commit, discard, filesystem, freed, prepare, scratch, stored
 from .shingles import mix
@@ -139,31 +139,14 @@ def _prints(width: int, percent: int):
     return freed(run)
 
 
-def cuts(printed: DataFrame, rows_of_task: int = 1 << 20, most: int = 1 << 18) -> np.ndarray:
-    """Where to cut the order of (sig, node) for tasks of about equal rows, as pairs.
-
-    They come from the sampled sets, about 256 rows for a task and ``most`` in all, and only balance the tasks:
-    equal signatures may lie on both sides of a cut, and any cuts give the same groups.
-    """
-    spark = printed.sparkSession
+def cuts(printed: DataFrame, rows_of_task: int = 1 << 20) -> np.ndarray:
+    """Where to cut the order of (sig, node) for tasks of about equal rows, from the sampled sets."""
     docs, some, rows = printed.agg(F.count("*"), F.count("sampled"), F.sum(F.when(F.col("sampled").isNotNull(), F.size("sampled")))).first()
     if not rows:
         return np.empty((0, 2), np.int64)
-    tasks = int(min(100_000, max(2 * spark.sparkContext.defaultParallelism, rows / some * docs // rows_of_task)))
+    tasks = int(min(100_000, max(2 * printed.sparkSession.sparkContext.defaultParallelism, rows / some * docs // rows_of_task)))
     listed = printed.filter("sampled is not null").select(F.explode("sampled").alias("sig"), "node")
-    found = listed.sample(min(1.0, min(most, 256 * tasks) / rows), seed=1).toArrow()
-    found = np.stack([np.asarray(found[k]) for k in range(2)], 1)
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    return found[np.arange(1, tasks) * len(found) // tasks] if len(found) else found
-
-
-def task_of(sig: np.ndarray, node: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """How many cuts lie at or before each row."""
-    low, high = np.searchsorted(cut[:, 0], sig, side="left"), np.searchsorted(cut[:, 0], sig, side="right")
-    out = low.copy()
-    for k in np.flatnonzero(low < high).tolist():  # rows of a signature at which there is a cut
-        out[k] += np.searchsorted(cut[low[k] : high[k], 1], node[k], side="right")
-    return out.astype(np.int32)
+    return ranges.cuts(listed.sample(ranges.share(rows, tasks), seed=1).toArrow(), tasks)
 
 
 def _signed(width: int, percent: int, cut: np.ndarray):
@@ -177,7 +160,7 @@ def _signed(width: int, percent: int, cut: np.ndarray):
             pick[once] = True
             sig, at = signatures(flat[np.repeat(pick, sizes)], np.append(0, np.cumsum(sizes[once])), percent)
             sig, node = sig.view(np.int64), np.repeat(own[once], np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(task_of(sig, node, cut))], names=["sig", "node", "task"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(ranges.task_of(sig, node, cut))], names=["sig", "node", "task"])
 
     return freed(run)
 
@@ -378,6 +361,16 @@ def _found(a: Block, b: Block | None, percent: int) -> tuple[list[tuple[int, int
     return edges, linked @ b.weights, linked.T @ a.weights
 
 
+def _tasked(cut: np.ndarray):
+    """Members of groups with the task that makes their blocks."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield b.append_column("task", pa.array(ranges.task_of(np.asarray(b.column(0)), np.asarray(b.column(1)), cut)))
+
+    return run
+
+
 def _blocks(folder: str, width: int, percent: int):
     """Of docs in order of family and size: blocks, written to one file a task, and the links within each."""
 
@@ -516,15 +509,20 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     single = firsts.join(members, "node").select(F.col("component").alias("family"), F.col("first").alias("doc"), "weight", "print")
     grouped = stored(single, "group-members")
     sized = printed.select(F.col("doc_id").alias("doc"), "print", "n_shingles").distinct()
-    single = stored(grouped.join(sized, ["doc", "print"]), "group-members")
+    single = held = stored(grouped.join(sized, ["doc", "print"]), "group-members")
+    members = single.count()
+    tasks = int(max(spark.sparkContext.defaultParallelism * 16, members // 4096))
+    place = F.shiftleft(F.col("n_shingles"), 32) + F.pmod(F.xxhash64("doc"), F.lit(1 << 32))  # by size, equal sizes anyhow
+    single = single.withColumn("place", place)
+    cut = ranges.cuts(single.select("family", "place").sample(ranges.share(members, tasks), seed=1).toArrow(), tasks)
+    tasked = single.select("family", "place", "doc", "weight", "print").mapInArrow(_tasked(cut), "family long, place long, doc long, weight long, print binary, task int")
     bitmap, among = bits(single, "doc")
     near = real.join(F.broadcast(bitmap), among("doc_id"), "left_semi")  # at most 16 MB
-    chosen = single.hint("merge").join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "n_shingles")
-    spread = max(1, spark.sparkContext.defaultParallelism * 16)
-    laid = chosen.repartitionByRange(spread, "family", "n_shingles", "doc").sortWithinPartitions("family", "n_shingles", "doc", "print").drop("n_shingles")
+    chosen = tasked.hint("merge").join(near, F.col("doc") == F.col("doc_id")).select("family", "doc", "weight", "text", "print", "place", "task")
+    laid = chosen.repartitionById(len(cut) + 1, "task").sortWithinPartitions("family", "place", "doc", "print").drop("place", "task")
     folder = scratch(spark, "block-files")
     blocks = stored(laid.mapInArrow(_blocks(folder, width, percent), BLOCK), "blocks")
-    discard(spark, grouped, single, bitmap)
+    discard(spark, grouped, held, bitmap)
 
     # Pairs of blocks of a group whose sizes fit.
     place = ["path", "at", "sets", "size"]
@@ -533,10 +531,12 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     fit = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
     pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") < F.col("b.block")) & fit)
     pairs = pairs.select(F.col("a.block").alias("x"), F.col("b.block").alias("y"), *[F.col(f"a.{c}").alias(f"x_{c}") for c in place], *[F.col(f"b.{c}").alias(f"y_{c}") for c in place])
-    pairs = pairs.repartitionByRange(spread, "x", "y").sortWithinPartitions("x", "y").drop("x", "y")
+    met = stored(pairs, "block-pairs")
+    spread = max(spark.sparkContext.defaultParallelism * 4, met.count() // 256)
+    pairs = met.repartitionByRange(spread, "x", "y").sortWithinPartitions("x", "y").drop("x", "y")
     across = pairs.mapInArrow(_across(percent), LINKS)
     links = stored(blocks.filter("a is not null").select("a", "b", "links").unionByName(across), "links")
-    discard(spark, blocks, listed, folder)
+    discard(spark, blocks, listed, met, folder)
 
     # Rows of one doc_id with different sets are one node.
     twice = known.groupBy("doc_id").agg(F.count_distinct("print").alias("n")).filter("n > 1").select("doc_id")

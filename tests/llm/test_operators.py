@@ -13,7 +13,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tessera.llm import components, curves, dac, linededup, mixing, packing, pii, quality, runtime, shingles, stages, tokengroups, tokens, wand, warc  # noqa: E402
+from tessera.llm import components, curves, dac, linededup, mixing, packing, pii, quality, ranges, runtime, shingles, stages, tokengroups, tokens, wand, warc  # noqa: E402
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -328,8 +328,11 @@ def test_rows_go_to_tasks_in_order():
     r = np.random.default_rng(3)
     cut = np.array(sorted({(int(a), int(b)) for a, b in r.integers(-5, 5, (30, 2))}))
     sig, node = r.integers(-6, 6, 500), r.integers(-6, 6, 500)
-    assert tokengroups.task_of(sig, node, cut).tolist() == [sum((a, b) <= (s, n) for a, b in cut.tolist()) for s, n in zip(sig, node)]
-    assert not tokengroups.task_of(sig, node, np.empty((0, 2), np.int64)).any()
+    assert ranges.task_of(sig, node, cut).tolist() == [sum((a, b) <= (s, n) for a, b in cut.tolist()) for s, n in zip(sig, node)]
+    assert not ranges.task_of(sig, node, np.empty((0, 2), np.int64)).any()
+    some = ranges.cuts(pa.table({"a": sig, "b": node}), 10)
+    assert max(np.bincount(ranges.task_of(sig, node, some))) < 100 and ranges.cuts(pa.table({"a": sig[:0], "b": node[:0]}), 10).shape == (0, 2)
+    assert ranges.share(1000, 2) == 0.512 and ranges.share(10, 2) == 1 and ranges.share(0, 2) == 1 and ranges.share(1 << 40, 100_000) == 2.0**-22
 
 
 def test_join_of_long_texts(spark):
