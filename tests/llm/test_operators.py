@@ -317,7 +317,7 @@ def test_join_in_many_blocks(spark, monkeypatch):
 def test_join_with_cuts_within_signatures(spark, monkeypatch):
     import functools
 
-    made = functools.partial(tokengroups.cuts, rows_of_task=40)  # hundreds of tasks
+    made = functools.partial(tokengroups.cuts, rows_of_task=200)  # some tens of tasks
     monkeypatch.setattr(tokengroups, "cuts", made)
     rows = near_texts(200) + [(1000 + i, "one text that many documents share, word for word, and then some") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
