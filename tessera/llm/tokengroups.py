@@ -7,6 +7,12 @@ Sets that share no segment can't be linked, whatever else they share (a common p
 don't make a whole segment equal). Sets that do are linked to the first of each segment, and the connected
 components of these links are the groups of similar sets.
 
+Common tokens. Segments hold a few tokens only, so of two sets that share a passage some are equal by chance, and
+the sets with common passages would be one group that grows with the table. Tokens that many sets of a sample hold
+are therefore left out of segments first: sets differ in no more of the other tokens than of all, so what follows
+from D holds for them too. A set whose other tokens are too few for its segments takes more and smaller ones, and
+in the end those of all its tokens. The sample decides what is compared, not what is linked.
+
 Matrix. A group is laid out by size in blocks of bounded numbers of sets and tokens, which tasks write to files in the shared
 folder, with the tokens that most of its sets hold as its centre, each set's distance from it, and a bitmap of
 hashed tokens for each set and so, by their union, for the block. Blocks of fitting sizes of one group meet.
@@ -37,7 +43,10 @@ from .runtime import commit, discard, filesystem, freed, prepare, scratch, store
 from .shingles import mix
 
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 17, 4096
-MAPPINGS = 3
+# Ways to deal a set's tokens into segments, each for sets for which those before left too many empty: whether
+# common tokens are left out, and by how much there are more segments.
+MAPPINGS = ((True, 1), (True, 2), (True, 4), (False, 1), (False, 1), (False, 1))
+SAMPLE, LONGEST, OFTEN, MOST_COMMON, CUT_SETS = 1 << 14, 1 << 14, 4, 1 << 17, 1 << 11
 SLACK = 1e-9
 
 
@@ -60,9 +69,26 @@ def segments(low: int, high: int, percent: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def signatures(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Common:
+    """Some tokens, and which of others are among them."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.marks = np.sort(tokens), np.zeros(1 << 20, bool)
+        self.marks[self.tokens >> np.uint64(44)] = True
+
+    def among(self, tokens: np.ndarray) -> np.ndarray:
+        found = self.marks[tokens >> np.uint64(44)]
+        some = np.flatnonzero(found)
+        if len(some):
+            at = np.searchsorted(self.tokens, tokens[some])
+            found[some] = self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens[some]
+        return found
+
+
+def signatures(flat: np.ndarray, offsets: np.ndarray, percent: int, common: Common | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each set its segments' signatures, joined, and the n + 1 offsets."""
     sizes, n = np.diff(offsets), len(offsets) - 1
+    seldom = ~common.among(flat) if common else np.ones(len(flat), bool)
     if not len(flat):
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     ends = classes(percent, int(sizes.max()))
@@ -71,22 +97,25 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.
     shape = {s: segments(int(ends[s]), int(ends[min(s + 2, len(ends) - 1)]), percent) for s in {*own[sizes > 0].tolist(), *(own[sizes > 0] - 1).tolist()} if s >= 0}
     for scheme in (own - 1, own):
         todo = np.flatnonzero((sizes > 0) & (scheme >= 0))
-        for mapping in range(MAPPINGS):
+        for mapping, (without, more) in enumerate(MAPPINGS):
             if not len(todo):
                 break
             k = np.array([shape[s][0] for s in scheme[todo].tolist()])
-            spare = np.array([shape[s][1] for s in scheme[todo].tolist()])
+            spare = np.array([shape[s][1] for s in scheme[todo].tolist()]) + (more - 1) * k
+            k = more * k
             first = np.append(0, np.cumsum(k))
             pick = np.repeat(offsets[todo], sizes[todo]) + np.arange(int(sizes[todo].sum())) - np.repeat(np.cumsum(sizes[todo]) - sizes[todo], sizes[todo])
-            token = flat[pick]
             of = np.repeat(np.arange(len(todo)), sizes[todo])
+            if without:
+                pick, of = pick[seldom[pick]], of[seldom[pick]]
+            token = flat[pick]
             place = first[of] + ((mix(token + np.uint64(77 + mapping)) >> np.uint64(16)) % k[of].astype(np.uint64)).astype(np.int64)
             total = np.zeros(int(first[-1]), np.uint64)
             np.add.at(total, place, mix(token + np.uint64(5)))
             held = np.bincount(place, minlength=len(total)) > 0
             doc = np.repeat(np.arange(len(todo)), k)
             empty = k - np.bincount(doc[held], minlength=len(todo))
-            last = mapping == MAPPINGS - 1
+            last = mapping == len(MAPPINGS) - 1
             use = held | (last & (empty > spare)[doc])
             segment = np.arange(len(total)) - first[doc]
             seal = (scheme[todo][doc].astype(np.uint64) << np.uint64(40)) + (segment.astype(np.uint64) << np.uint64(4)) + np.uint64(mapping)
@@ -124,32 +153,59 @@ def nodes(keys: list[bytes | None]) -> list[int | None]:
 PRINTS = "doc_id long, n_shingles long, print binary, node long, sampled array<bigint>"
 
 
-def _prints(width: int, percent: int):
-    """Sizes and fingerprints of all sets, and the signatures of one set in a slice, from which _signed's rows are cut."""
+def _prints(width: int, share: float):
+    """Sizes and fingerprints of all sets, and the tokens of a share of the distinct ones, once a task."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for part, flat, offsets in _slices(found, 1, width):
             key, sizes = prints(flat, offsets), np.diff(offsets)
             sampled: list = [None] * len(sizes)
-            some = np.flatnonzero(sizes)[:1]
-            for k in some.tolist():
-                sampled[k] = signatures(flat[offsets[k] : offsets[k + 1]], np.array([0, sizes[k]]), percent)[0].view(np.int64)
+            for k in np.flatnonzero((sizes > 0) & (sizes <= LONGEST)).tolist():
+                if int.from_bytes(key[k][:8], "little") < share * 2**64 and key[k] not in seen:
+                    seen.add(key[k])
+                    sampled[k] = flat[offsets[k] : offsets[k + 1]].view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(key, pa.binary()), pa.array(nodes(key), pa.int64()), pa.array(sampled, pa.list_(pa.int64()))], names=[x.split()[0] for x in PRINTS.split(", ")])
 
     return freed(run)
 
 
-def cuts(printed: DataFrame, rows_of_task: int = 1 << 20) -> np.ndarray:
-    """Where to cut the order of (sig, node) for tasks of about equal rows, from the sampled sets."""
-    docs, some, rows = printed.agg(F.count("*"), F.count("sampled"), F.sum(F.when(F.col("sampled").isNotNull(), F.size("sampled")))).first()
+def common_tokens(printed: DataFrame) -> Common:
+    """Tokens that many sets of the sample hold, the most frequent ones."""
+    listed = printed.filter("sampled is not null").dropDuplicates(["print"]).select(F.explode("sampled").alias("token"))
+    often = listed.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(MOST_COMMON)
+    return Common(np.asarray(often.toArrow()["token"]).astype(np.int64).view(np.uint64))  # at most 1 MB
+
+
+def _sampled(percent: int, common: Common):
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = part.column(1)
+                sig, at_ = signatures(np.asarray(sets.flatten()).view(np.uint64), np.append(0, np.cumsum(np.asarray(sets.value_lengths()))), percent, common)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), np.diff(at_)))], names=["sig", "node"])
+
+    return freed(run)
+
+
+def cuts(printed: DataFrame, percent: int, common: Common, rows_of_task: int = 1 << 20) -> np.ndarray:
+    """Where to cut the order of (sig, node) for tasks of about equal rows, from at most about CUT_SETS of the sampled sets."""
+    docs, some = printed.agg(F.count("*"), F.count("sampled")).first()
+    part = min(1.0, CUT_SETS / max(1, some))
+    few = printed.filter("sampled is not null").filter(F.pmod("node", F.lit(1 << 20)) < part * (1 << 20)).select("node", "sampled")
+    listed = stored(few.mapInArrow(_sampled(percent, common), "sig long, node long"), "sampled-signatures")
+    rows = listed.count()
     if not rows:
+        discard(printed.sparkSession, listed)
         return np.empty((0, 2), np.int64)
-    tasks = int(min(100_000, max(2 * printed.sparkSession.sparkContext.defaultParallelism, rows / some * docs // rows_of_task)))
-    listed = printed.filter("sampled is not null").select(F.explode("sampled").alias("sig"), "node")
-    return ranges.cuts(listed.sample(ranges.share(rows, tasks), seed=1).toArrow(), tasks)
+    tasks = int(min(100_000, max(2 * printed.sparkSession.sparkContext.defaultParallelism, rows / (some * part) * docs // rows_of_task)))
+    found = ranges.cuts(listed.sample(ranges.share(rows, tasks), seed=1).toArrow(), tasks)
+    discard(printed.sparkSession, listed)
+    return found
 
 
-def _signed(width: int, percent: int, cut: np.ndarray):
+def _signed(width: int, percent: int, common: Common, cut: np.ndarray):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, flat, offsets in _slices(found, 0, width):
             own = np.array([n or 0 for n in nodes(prints(flat, offsets))], np.int64)
@@ -158,7 +214,7 @@ def _signed(width: int, percent: int, cut: np.ndarray):
             once = np.sort(once[sizes[once] > 0])
             pick = np.zeros(len(sizes), bool)
             pick[once] = True
-            sig, at = signatures(flat[np.repeat(pick, sizes)], np.append(0, np.cumsum(sizes[once])), percent)
+            sig, at = signatures(flat[np.repeat(pick, sizes)], np.append(0, np.cumsum(sizes[once])), percent, common)
             sig, node = sig.view(np.int64), np.repeat(own[once], np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(ranges.task_of(sig, node, cut))], names=["sig", "node", "task"])
 
@@ -487,15 +543,17 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    printed = stored(texts.mapInArrow(_prints(width, percent), PRINTS), "prints")
-    cut = cuts(printed)
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    printed = stored(texts.mapInArrow(_prints(width, share), PRINTS), "prints")
+    common = common_tokens(printed)
+    cut = cuts(printed, percent, common)
     printed = printed.drop("sampled")
     known = printed.filter("doc_id is not null and print is not null")
     firsts = stored(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.min("node").alias("node")), "firsts")
     real = texts.filter("doc_id is not null")
 
     # Groups of similar sets.
-    rows = real.select("text").mapInArrow(_signed(width, percent, cut), "sig long, node long, task int")
+    rows = real.select("text").mapInArrow(_signed(width, percent, common, cut), "sig long, node long, task int")
     laid = rows.repartitionById(len(cut) + 1, "task").select("sig", "node").sortWithinPartitions("sig", "node")
     found = stored(laid.mapInArrow(_firsts, "sig long, a long, b long"), "segment-pairs")
     ends = found.filter("sig is not null")

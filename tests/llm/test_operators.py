@@ -466,6 +466,49 @@ def test_segments_always_agree_somewhere():
                 assert set(sig[: at[1]].tolist()) & set(sig[at[1] :].tolist())
 
 
+def test_segments_agree_without_common_tokens():
+    r = np.random.default_rng(10)
+    for percent in (90, 80, 60):
+        for n in (1, 2, 5, 10, 19, 40, 90, 200):
+            for share in (0.1, 0.5, 0.8, 0.95, 1):
+                for _ in range(12):
+                    a = np.unique(r.integers(0, 1 << 60, n).astype(np.uint64) << np.uint64(3))
+                    m = int(len(a) * (100 - percent) // (100 + percent))
+                    b = np.unique(np.concatenate([a[m:], r.integers(0, 1 << 60, m).astype(np.uint64)]))
+                    both = len(np.intersect1d(a, b))
+                    if 100 * both < percent * (len(a) + len(b) - both):
+                        continue
+                    every = np.union1d(a, b)
+                    common = tokengroups.Common(every[r.random(len(every)) < share])
+                    assert common.among(every).sum() == len(common.tokens)
+                    sig, at = tokengroups.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent, common)
+                    assert set(sig[: at[1]].tolist()) & set(sig[at[1] :].tolist())
+
+
+def test_a_common_passage_makes_no_group(spark, monkeypatch):
+    r = random.Random(6)
+    passage, rows = " ".join(f"p{i}" for i in range(80)), []
+    for i in range(300):
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * i, f"{' '.join(own[:20])} {passage} {' '.join(own[20:])}"))
+        if i % 30 == 0:
+            rows.append((2 * i + 1, f"{rows[-1][1]} tail"))
+    rows += [(1000 + i, passage + f" v{i}") for i in range(5)]  # little but common tokens
+    sizes, stored = {}, tokengroups.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tokengroups, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((5, 80), (3, 90)):
+        got = rows_of(tokengroups.join(docs, width, percent), "doc_id", "n_shingles", "component_id", "n_links")
+        assert got == brute_join(rows, width, percent)
+        assert sizes["group-members"] <= 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (None, 3), (300, 100)] + [(500, i) for i in range(501, 540)]
     got = dict(rows_of(components.components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
