@@ -38,7 +38,7 @@ from .runtime import commit, filesystem, freed, prepare, scratch, stored, text_b
 from .shingles import words
 
 K1, B, UNIT = 1.2, 0.75, 1e6
-BLOCK, GROUP, DENSE, SELDOM = 256, 256, 2048, 64
+BLOCK, GROUP, DENSE, SELDOM = 256, 1024, 2048, 64
 BUILT = "path string, docs long, words long, term long, df long, query_id long, cluster long, terms array<bigint>"
 
 
@@ -160,7 +160,7 @@ def _packer(folder: str, size: int):
 def _spread(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of ranges that have a start and a size, and which of the ranges each belongs to."""
     row = np.repeat(np.arange(len(starts)), size)
-    return starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), row
+    return (starts - (np.cumsum(size) - size))[row] + np.arange(len(row)), row
 
 
 @dataclass
@@ -179,6 +179,7 @@ class Shard:
         self.doc_ids, lengths, self.vocabulary, df = data["doc_ids"], data["lengths"], data["vocabulary"], data["df"]
         self.n, self.starts = len(self.doc_ids), np.append(0, np.cumsum(df))
         self.df, self.doc, tf = df, data["posting_doc"], data["posting_tf"]
+        self.slot = self.doc.astype(np.int64) % BLOCK
         self.norm = K1 * (1 - B + B * lengths / mean)
         self.impact = self.impacts(tf, self.doc).astype(np.float32)
         self.blocks = max(1, -(-self.n // BLOCK))
@@ -221,7 +222,7 @@ class Shard:
         known = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
         row = np.repeat(np.arange(len(ids)), np.diff(offsets))[known]
         local, weight = at[known], idf[known]
-        n, width = len(ids), self.blocks * BLOCK
+        n = len(ids)
         dense = self.dense[local]
         often = dense >= 0
         query = np.zeros((n, self.matrix.shape[1]), np.float32)
@@ -233,14 +234,15 @@ class Shard:
         runs, run_row, run_weight = runs[by], row[~often][which[by]], weight[~often][which[by]]
         run_block = self.run_block[runs].astype(np.int64)
         ends_of = np.append(0, np.cumsum(np.bincount(run_block, minlength=self.blocks)))
-        scores = np.zeros((n, width), np.float32)
-        own = self._own(ids)
+        near: list = []  # (query, document, score) of what came near a threshold
+        own_row, own_doc = self._own(ids)
         frequent = query @ self.maxima
         bound = frequent + np.bincount(run_row * self.blocks + run_block, weights=run_weight * self.run_best[runs], minlength=n * self.blocks).reshape(n, self.blocks)
         slack = 1e-5 * bound.max(1) + 1e-3
         best = np.zeros((n, k), np.float32)  # documents that share no term are no result
         for i, f in enumerate(found):
             best[i, : len(f)] = [-x / UNIT for x, _ in f]
+        least = best.min(1)
         work = Work()
 
         def take(b: int, rows: np.ndarray) -> None:
@@ -250,30 +252,42 @@ class Shard:
             mine = np.arange(ends_of[b], ends_of[b + 1])
             mine = mine[place[run_row[mine]] >= 0]
             pick, which = _spread(self.runs[runs[mine]], self.runs[runs[mine] + 1] - self.runs[runs[mine]])
-            tile = np.bincount(place[run_row[mine]][which] * BLOCK + self.doc[pick] % BLOCK, weights=run_weight[mine][which] * self.impact[pick], minlength=len(rows) * BLOCK)
+            tile = np.bincount((place[run_row[mine]] * BLOCK)[which] + self.slot[pick], weights=run_weight[mine][which] * self.impact[pick], minlength=len(rows) * BLOCK)
             tile = tile.astype(np.float32).reshape(-1, BLOCK)
             # Documents that the frequent terms can still lift to the threshold.
-            open_ = tile + frequent[rows, b, None] >= (best[rows].min(1) - slack[rows])[:, None]
+            open_ = tile >= (least[rows] - slack[rows] - frequent[rows, b])[:, None]
             open_[:, self.n - b * BLOCK :] = False
             work.blocks += len(rows)
             work.postings += len(pick)
             kept, docs = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
             if not len(kept):
                 return
-            some = np.flatnonzero(self.maxima[:, b] * query[rows[kept]].any(0))
-            part = self.matrix[b] if len(some) == len(self.maxima) else self.matrix[b][some]
-            part = part if len(docs) == BLOCK else part[:, docs]
+            rows, weights, part = rows[kept], query.take(rows[kept], 0), self.matrix[b]
+            some = np.flatnonzero((self.maxima[:, b] > 0) & weights.any(0))
+            if 8 * len(some) < 7 * len(self.maxima):  # else the copies cost more than they save
+                weights, part = weights.take(some, 1), part[some]
+            part = part if 2 * len(docs) > BLOCK else part[:, docs]
             work.documents += len(kept) * len(docs)
-            sums = np.zeros((len(kept), BLOCK), np.float32)
-            sums[:, docs] = tile[np.ix_(kept, docs)] + query[np.ix_(rows[kept], some)] @ part
-            sums[~open_[kept]] = 0
-            for i, r in enumerate(rows[kept]):  # a query's own document is no candidate
-                for d in own[r]:
-                    if d // BLOCK == b:
-                        sums[i, d % BLOCK] = 0
-            rows = rows[kept]
-            scores[rows, b * BLOCK : (b + 1) * BLOCK] = sums
+            tile, open_ = (tile, open_) if len(kept) == len(tile) else (tile[kept], open_[kept])
+            if part.shape[1] == BLOCK:
+                sums = weights @ part
+                sums += tile
+            else:
+                sums = np.zeros((len(kept), BLOCK), np.float32)
+                sums[:, docs] = tile[:, docs] + weights @ part
+            sums *= open_
+            hers = own_doc // BLOCK == b  # a query's own document is no candidate
+            at = np.searchsorted(rows, own_row[hers])
+            at[at == len(rows)] = 0
+            mine = rows[at] == own_row[hers]
+            sums[at[mine], own_doc[hers][mine] % BLOCK] = 0
+            # Most queries find nothing near their threshold here.
+            some = np.flatnonzero(sums.max(1) >= least[rows] - 2 * slack[rows])
+            rows, sums = rows[some], sums[some]
             best[rows] = np.partition(np.concatenate([best[rows], sums], 1), BLOCK, axis=1)[:, -k:]
+            least[rows] = best[rows].min(1)
+            at, docs = np.nonzero((sums > 0) & (sums >= (least[rows] - 2 * slack[rows])[:, None]))
+            near.append((rows[at], docs + b * BLOCK, sums[at, docs]))
 
         todo = bound > 0
         if not seeded:
@@ -283,7 +297,7 @@ class Shard:
             todo[np.arange(n), first] = False
         cursor = np.zeros(n, np.int64)
         while True:
-            reach = todo & (bound >= (best.min(1) - slack)[:, None]) & (np.arange(self.blocks) >= cursor[:, None])
+            reach = todo & (bound >= (least - slack)[:, None]) & (np.arange(self.blocks) >= cursor[:, None])
             pivot = np.where(reach.any(1), reach.argmax(1), self.blocks)
             b = int(pivot.min()) if n else self.blocks
             if b == self.blocks:
@@ -292,10 +306,14 @@ class Shard:
             cursor[:] = b + 1  # no query has a pivot before b
         whole = np.zeros(len(self.vocabulary))
         ends = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
-        for q in range(n):
-            docs = np.flatnonzero((scores[q, : self.n] > 0) & (scores[q, : self.n] >= best[q].min() - 2 * slack[q]))
-            if not len(docs):
-                continue
+        if not near:
+            return found, work
+        at, doc, score = (np.concatenate(x) for x in zip(*near))
+        kept = score >= (least - 2 * slack)[at]
+        by = np.lexsort((doc[kept], at[kept]))
+        at, doc = at[kept][by], doc[kept][by]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        for q, docs in zip(at[first].tolist(), np.split(doc, first[1:])):
             mine = slice(ends[q], ends[q + 1])
             whole[local[mine]] = weight[mine]
             size = self.forward[docs + 1] - self.forward[docs]
@@ -308,10 +326,12 @@ class Shard:
             found[q] = sorted([*found[q], *zip((-total[first]).tolist(), self.doc_ids[docs[first]].tolist())])[:k]
         return found, work
 
-    def _own(self, ids: np.ndarray) -> list[np.ndarray]:
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, document) of the documents that queries are, in order of the queries."""
         order = np.argsort(self.doc_ids, kind="stable")
         a, z = np.searchsorted(self.doc_ids[order], ids, side="left"), np.searchsorted(self.doc_ids[order], ids, side="right")
-        return [order[x:y] for x, y in zip(a, z)]
+        places, row = _spread(a, z - a)
+        return row, order[places]
 
 
 def _searcher(docs: int, mean: float, k: int):
@@ -345,6 +365,11 @@ def _lots(files: DataFrame, size: str, most: int, name: str) -> DataFrame:
     return files.select(F.col("path").alias(f"{name}_path"), F.floor(F.coalesce(before, F.lit(0)) / most).cast("int").alias(name))
 
 
+def lot_queries(queries: int, shard_lots: int, query_file: int, parallel: int) -> int:
+    """Queries of a task: up to four files of them, where tasks still outnumber the cores, as each lot loads all shards."""
+    return min(4 * query_file, max(query_file, queries * shard_lots // (4 * parallel)))
+
+
 def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 8192, shard_words: int = 1 << 22, query_file: int = 4096, task_shards: int = 4) -> DataFrame:
     """query_id, rank, doc_id and score of the k best documents for each document whose doc_id is divisible by ``every``.
 
@@ -373,10 +398,12 @@ def search(corpus: DataFrame, k: int = 10, every: int = 50, shard_docs: int = 81
     laid = known.repartitionByRange("cluster", "query_id").sortWithinPartitions("cluster", "query_id").select("query_id", "terms")
     files = stored(laid.mapInArrow(_packer(scratch(spark, "queries"), query_file), "path string, queries long"), "query-files")
     # A task answers a lot of queries from a lot of shards; lots are numbered from 0, some may be empty.
-    left, right = _lots(shards, "docs", task_shards * shard_docs, "shard"), stored(_lots(files, "queries", query_file, "query"), "query-lots")
+    shard_lots = docs // (task_shards * shard_docs) + 1
+    most = lot_queries(files.agg(F.sum("queries")).first()[0] or 0, shard_lots, query_file, spark.sparkContext.defaultParallelism)
+    left, right = _lots(shards, "docs", task_shards * shard_docs, "shard"), stored(_lots(files, "queries", most, "query"), "query-lots")
     lots = (right.agg(F.max("query")).first()[0] or 0) + 1
     pairs = left.withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).join(right, "query").withColumn("task", F.col("shard") * lots + F.col("query"))
-    laid = pairs.repartitionById((docs // (task_shards * shard_docs) + 1) * lots, "task").select("shard_path", "query_path")
+    laid = pairs.repartitionById(shard_lots * lots, "task").select("shard_path", "query_path")
     found = laid.mapInArrow(_searcher(docs, total / docs, k), result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

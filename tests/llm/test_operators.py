@@ -548,6 +548,16 @@ def test_bm25_is_exact(spark, shard):
     assert rows_of(got, "query_id", "rank", "doc_id", "score") == brute_bm25(rows, 7, 50)
 
 
+def test_bm25_with_several_files_of_queries_a_task(spark):
+    r = random.Random(14)
+    rows = [(i, " ".join(f"c{r.randrange(40)}" for _ in range(r.randint(0, 30)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = wand.search(docs, k=4, every=10, shard_docs=16, query_file=2, task_shards=1)
+    assert rows_of(got, "query_id", "rank", "doc_id", "score") == brute_bm25(rows, 4, 10)
+    assert wand.lot_queries(60, 38, 2, spark.sparkContext.defaultParallelism) > 2
+    assert [wand.lot_queries(q, s, 4096, 6) for q, s in ((1026, 2), (5128, 8), (60_000, 92))] == [4096, 4096, 16384]
+
+
 def test_blocks_are_skipped():
     r = np.random.default_rng(1)
     n = 2048
