@@ -625,6 +625,41 @@ def test_pivots_score_less_than_all_of_mixed_data(k):
         assert work.postings < 0.8 * postings and work.documents < 0.5 * len(asked) * n, (work, postings)
 
 
+def test_kinds_put_documents_of_one_language_together():
+    r = np.random.default_rng(3)
+    n, language = 600, np.arange(600) % 3  # in turn, each word once, so no word is a document's most frequent one
+    own = [100 * g + r.choice(100, 30, replace=False) for g in language]
+    owner, local = np.repeat(np.arange(n), 30), np.concatenate(own)
+    kind = wand.kinds(n, owner, local, np.bincount(local, minlength=300))
+    assert all(len(set(language[kind == i])) == 1 for i in set(kind))
+    assert (wand.kinds(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)) == 0).all()
+
+
+def test_floors_of_other_shards_skip_work():
+    r, n = np.random.default_rng(8), 2048
+    shard, own = index_of([np.concatenate([r.integers(0, 60, 20), 1000 + r.integers(0, 3000, 10)]) for _ in range(n)])
+    asked = np.arange(0, n, 50)
+    terms, offsets = np.concatenate([own[i] for i in asked]), np.append(0, np.cumsum([len(own[i]) for i in asked]))
+    idf = np.log(1 + n / (1 + shard.df[np.searchsorted(shard.vocabulary, terms)]))
+    places = shard.places(terms)
+    assert (shard.places(np.array([999, 10**6], np.uint64)) == -1).all()
+    want, all_work = shard.search(asked, offsets, places, idf, 5)
+    scores = np.array([[-x / wand.UNIT for x, _ in f] for f in want])
+    got, _ = shard.search(asked, offsets, places, idf, 5, None, scores[:, 4])
+    assert got == want  # ties with the floor stay
+    got, work = shard.search(asked, offsets, places, idf, 5, None, scores[:, 0] * 10)
+    assert not any(got) and work.documents == 0 < all_work.documents
+
+
+def test_bm25_with_shards_searched_first(spark):
+    r = random.Random(15)
+    rows = [(i, " ".join(f"c{r.randrange(60)}" for _ in range(r.randint(0, 20)))) for i in range(500)]
+    docs = spark.createDataFrame([*rows, (500, "alone"), (505, "alone")], "doc_id long, text string").repartition(2)
+    got = wand.search(docs, k=3, every=10, shard_docs=8, query_file=20, task_shards=2)
+    assert wand.head_shards(63) == 7 and wand.head_shards(7) == 0 and wand.head_shards(366) == 16
+    assert rows_of(got, "query_id", "rank", "doc_id", "score") == brute_bm25([*rows, (500, "alone"), (505, "alone")], 3, 10)
+
+
 def test_bm25_edges(spark):
     rows = [(d, t) for d, t, _ in TEXTS if d is not None and d != 7]
     got = wand.search(frame(spark, [(d, t, "") for d, t in rows] + [(None, "quick fox", "")]))
